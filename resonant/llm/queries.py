@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, quality, secrets, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, html_text, lm, quality, secrets, token_counts, toxicity, url_filter
 from .spark_io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,5 +45,9 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op8_quality, op9_toxicity)}
+def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op8_quality, op9_toxicity, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}
