@@ -21,10 +21,13 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .words import chunks
+
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 CACHE = 300_000
@@ -241,3 +244,27 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
+    """The rows without their text, but with ids array<int>, n_tokens and decoded_sha256."""
+    at = path or default_path()
+    kept = [c for c in documents.columns if c not in (text, "ids", "n_tokens", "decoded_sha256")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = coder(at)
+        for whole in batches:
+            for a, b, _, _ in chunks(whole.column("_text")):
+                batch = whole.slice(a, b - a)
+                first, ids, back = [0], [], []
+                for x in batch.column("_text"):
+                    out = c.written(x.as_py() or "")
+                    ids.append(np.fromstring(",".join(out), np.int32, sep=",") if out else np.zeros(0, np.int32))
+                    first.append(first[-1] + len(ids[-1]))
+                    back.append(hashlib.sha256(b"".join(map(c.undone.__getitem__, out)).decode("utf-8", "replace").encode()).hexdigest())
+                lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
+                yield pa.RecordBatch.from_arrays([batch.column("_row"), lists, pa.array(np.diff(first), pa.int64()), pa.array(back, pa.string())], ["_row", "ids", "n_tokens", "decoded_sha256"])
+
+    source = documents.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_text"))
+    kind = source.schema["_row"].dataType.simpleString()
+    return source.mapInArrow(run, f"_row {kind}, ids array<int>, n_tokens long, decoded_sha256 string").select("_row.*", "ids", "n_tokens", "decoded_sha256")

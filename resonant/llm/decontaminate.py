@@ -237,3 +237,9 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, share: int = 20
     )
 
 
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
+    """The documents that are not contaminated, with their columns."""
+    keyed = documents.select(F.struct(*documents.columns).alias("doc_id"), F.col(text).alias("text"))
+    return decontaminate(keyed, benchmark, **options).where(~F.col("contaminated")).select("doc_id.*")

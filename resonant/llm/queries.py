@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html_text, lm, quality, secrets, token_counts, toxicity, url_filter
+from . import bpe, decontaminate, html_text, jaccard, lm, quality, secrets, token_counts, toxicity, url_filter
 from .spark_io import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"))
 
@@ -49,5 +53,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op8_quality, op9_toxicity, op10_lm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op7_jaccard, op8_quality, op9_toxicity, op10_lm)}
 ORACLE_SQL: dict[str, str] = {}
