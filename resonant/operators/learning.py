@@ -34,11 +34,12 @@ class TextClassifier:
 
     def fit(self, rows: DataFrame) -> TextClassifier:
         """rows: (text, label)."""
-        counted = self._counted(rows)
+        counted = self._counted(rows).select("_terms", "label").cache()
         self.words = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=self.min_df, vocabSize=self.features).fit(counted)
         self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(self.words.transform(counted))
-        n = rows.count()
-        self.model = LogisticRegression(family="multinomial", regParam=1 / (self.c * max(n, 1)), standardization=False, maxIter=self.max_iter).fit(self._vectors(rows))
+        features = Normalizer(inputCol="_idf", outputCol="features").transform(self.idf.transform(self.words.transform(counted)))
+        self.model = LogisticRegression(family="multinomial", regParam=1 / (self.c * max(counted.count(), 1)), standardization=False, maxIter=self.max_iter).fit(features)
+        counted.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

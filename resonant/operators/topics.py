@@ -14,11 +14,12 @@ from . import vectors as V
 
 def ngrams(tokens: Column, most: int = 1) -> Column:
     """Words, and runs of up to `most` words."""
-    parts = [tokens]
-    for n in range(2, most + 1):
-        runs = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i, n=n: F.array_join(F.slice(tokens, i, n), " "))
-        parts.append(F.when(F.size(tokens) >= n, runs).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts)
+
+    def runs(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
+        return F.when(F.size(tokens) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(tokens, *(runs(n) for n in range(2, most + 1)))
 
 
 def tfidf(docs: DataFrame, *, min_df: int = 1, max_df_ratio: float = 1.0, max_features: int | None = None) -> DataFrame:

@@ -1,4 +1,6 @@
 """Every registered query of the engine with its DuckDB counterpart."""
 
-QUERIES = {}
-ORACLE_SQL = {}
+from . import retrieval, texts, vectors
+
+QUERIES = {**retrieval.QUERIES, **texts.QUERIES, **vectors.QUERIES}
+ORACLE_SQL = {**retrieval.ORACLE_SQL, **texts.ORACLE_SQL, **vectors.ORACLE_SQL}
