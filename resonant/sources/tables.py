@@ -95,7 +95,7 @@ def read_merge_map(spark: SparkSession, path: str, k: int = 29) -> DataFrame:
         if "PATH_NOT_FOUND" not in str(e):
             raise
         return spark.range(k).select(F.col("id").cast("int").alias("old_id"), F.col("id").cast("int").alias("new_id"))
-    return raw.select(F.posexplode("groups").alias("new_id", "g")).select(F.explode("g").cast("int").alias("old_id"), "new_id")
+    return raw.select(F.posexplode("groups").alias("new_id", "g")).select(F.explode("g").alias("old_id"), "new_id").select(F.col("old_id").cast("int").alias("old_id"), "new_id")
 
 
 def guessed_columns(df: DataFrame) -> tuple[str, str]:
