@@ -43,7 +43,7 @@ from .spark_io import written
 SHINGLE, PERCENT = 4, 85
 KEY_BITS = 48
 #: Shingles that a block gathers before it is sent.
-GATHER = 3_000_000
+GATHER = 1_000_000
 #: Shared keys and sets that a tile may hold.
 TILE_KEYS, TILE_SETS = 2_000_000, 4_000
 
@@ -254,7 +254,7 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = written(docs.mapInArrow(_classes(shingle), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
-    log_ranges = max(3, (docs.rdd.getNumPartitions() - 1).bit_length())
+    log_ranges = max(3, docs.rdd.getNumPartitions().bit_length() + 1)
     blocks = docs.select("text").mapInArrow(_blocks(shingle, log_ranges), _BLOCKS)
     shared = blocks.groupBy("r").applyInArrow(_shared, _SHARED)
     left = shared.groupBy("block").applyInArrow(_left(percent), _LEFT)

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 U = np.uint64
 #: Text bytes handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _SEED = np.random.default_rng(20240607)
 _BYTE_CODE = _SEED.integers(1, 2**63, 256, dtype=np.uint64) | U(1)
