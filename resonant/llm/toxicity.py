@@ -76,11 +76,13 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for a, b, data, off in W.chunks(batch.column("text")):
             doc, feature = (np.concatenate(v) for v in zip(*grams(data, off))) if len(data) and W.NOT_SPACE[data].any() else (np.zeros(0, np.int64),) * 2
             order = np.argsort(doc, kind="stable")
-            out += [f.astype(np.int32).tobytes() for f in np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a)))]
+            for f in np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a))):
+                own, n = np.unique(f, return_counts=True)
+                out.append(own.astype("<i4").tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "f"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 2000, steps: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, steps: int = 150, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """The table of weights (scale times coefficient) and the intercept; documents: doc_id, text; labels: doc_id, y."""
     known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.withColumn("o", F.xxhash64("doc_id"))
@@ -89,24 +91,26 @@ def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 2000, steps
         own = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class)
         sample = own if sample is None else sample.unionByName(own)
     rows = documents.join(F.broadcast(sample.select("doc_id", "y")), "doc_id").select("y", "text").mapInArrow(_features, "y int, f binary").collect()
-    f = [np.frombuffer(r["f"], np.int32) for r in rows]
+    cut = [len(r["f"]) // 5 for r in rows]
+    f = [(np.frombuffer(r["f"], "<i4", n), np.frombuffer(r["f"], np.uint8, n, 4 * n)) for r, n in zip(rows, cut)]
     y = np.array([r["y"] for r in rows], np.float64)
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return np.zeros(1 << BITS), float(np.log(p / (1 - p)))
-    order = np.lexsort((np.array([x.tobytes() for x in f], object).argsort().argsort(), y))  # the rows' order must not matter
+    order = sorted(range(len(f)), key=lambda i: (y[i], bytes(rows[i]["f"])))  # the rows' order must not matter
     f, y = [f[i] for i in order], y[order]
+    del rows
     has = np.zeros((2, 1 << BITS))
-    for x, c in zip(f, y):
-        has[int(c), np.unique(x)] += 1
+    for (x, _), c in zip(f, y):
+        has[int(c), x] += 1
     p, q = has[1] + 1, has[0] + 1
     ratio = np.log(p / p.sum()) - np.log(q / q.sum())
     # only ratios that stand out from chance: long texts hold thousands of rare n-grams
     ratio[(has.sum(0) < MIN_DOCS) | (np.abs(ratio) < SURE * np.sqrt(1 / p + 1 / q))] = 0
-    f = [x[ratio[x] != 0] for x in f]
-    first = np.concatenate([[0], np.cumsum([len(x) for x in f])])
-    flat = np.concatenate(f)
-    value = ratio[flat]
+    f = [(x[ratio[x] != 0], n[ratio[x] != 0]) for x, n in f]
+    first = np.concatenate([[0], np.cumsum([len(x) for x, _ in f])])
+    flat = np.concatenate([x for x, _ in f])
+    value = ratio[flat] * np.concatenate([n for _, n in f])
     row = np.repeat(np.arange(len(f)), np.diff(first))
     size = np.sqrt(np.maximum(np.bincount(row, value**2, len(f)), 1.0))
     step = 1.0 / (0.25 * float(np.mean(size**2)) + ridge)
@@ -141,7 +145,7 @@ def score(documents: DataFrame, table: np.ndarray, intercept: float) -> DataFram
     return documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double")
 
 
-def report(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, per_class: int = 2000) -> DataFrame:
+def report(documents: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 3, held_out: int = 1, per_class: int = 1500) -> DataFrame:
     """Per row doc_id, held_out, score and predicted; labels are learnt from the other folds only."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where(fold(F.col("doc_id"), folds) != held_out)
