@@ -45,6 +45,7 @@ UNTOLD = (
     (60, 0.0, 50, 0.0, 70, 0.0, 0, 1), (90, 0.05, 4, 1.0, 60, 0.0, 0, 1), (35, 0.1, 60, 0.0, 45, 0.0, 0, 1), (18, 0.0, 40, 0.0, 55, 0.0, 0, 1),
     (6, 0.0, 2, 1.0, 70, 0.0, 1, 1), (9, 0.0, 50, 0.0, 60, 0.0, 1, 1), (45, 0.2, 30, 0.0, 2, 1.0, 0, 1), (200, 0.0, 0, 0.0, 0, 0.0, 0, 1),
     (4, 0.0, 60, 0.0, 50, 0.0, 0, 1), (11, 0.0, 35, 0.0, 40, 0.0, 0, 1), (26, 0.0, 3, 1.0, 5, 0.9, 0, 1), (50, 0.0, 0, 0.0, 6, 0.6, 0, 1),
+    (2, 1.0, 0, 0.0, 60, 0.0, 0, 0), (5, 1.0, 0, 0.0, 120, 0.0, 0, 0), (3, 0.8, 2, 1.0, 90, 0.0, 0, 0), (9, 0.7, 60, 0.0, 40, 0.0, 0, 0),
     (1, 1.0, 1, 1.0, 2, 1.0, 0, 0), (3, 1.0, 2, 1.0, 2, 1.0, 0, 0), (12, 0.9, 5, 0.8, 6, 1.0, 0, 0), (4, 0.0, 1, 1.0, 2, 1.0, 0, 0),
     (5, 0.0, 3, 0.0, 4, 0.0, 0, 0), (8, 0.6, 40, 0.0, 3, 1.0, 0, 0), (20, 0.8, 12, 0.7, 10, 0.9, 0, 0), (2, 0.0, 2, 1.0, 3, 1.0, 1, 0),
     (7, 0.0, 30, 0.9, 0, 0.0, 0, 0), (40, 0.7, 5, 1.0, 20, 0.8, 0, 0), (6, 0.4, 8, 0.5, 4, 1.0, 0, 0), (3, 0.0, 4, 0.5, 2, 0.0, 0, 0),
