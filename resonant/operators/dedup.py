@@ -5,7 +5,7 @@ from __future__ import annotations
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window as Win, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import text as X
 
@@ -16,8 +16,9 @@ def first_wins(corpora: list[DataFrame], keys: list[str], order: str) -> DataFra
     for i, c in enumerate(corpora):
         c = c.withColumn("_source", F.lit(i))
         both = c if both is None else both.unionByName(c)
-    w = Win.partitionBy(*keys).orderBy("_source", order)
-    return both.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "_source")
+    # the least row of each key, so that copies are pre-aggregated and no key needs a task of its own
+    rest = [c for c in both.columns if c not in ("_source", order)]
+    return both.groupBy(*keys).agg(F.min(F.struct("_source", order, *(F.col(c) for c in rest if c not in keys))).alias("_r")).select(*keys, *(f"_r.{c}" for c in both.columns if c not in keys and c != "_source"))
 
 
 def exact_groups(songs: DataFrame, keys: list[str], id_column: str) -> DataFrame:
@@ -47,7 +48,7 @@ def fuzzy_pairs(songs: DataFrame, *, above: float = 0.85) -> DataFrame:
 def fuzzy_dedupe(songs: DataFrame, *, threshold: float = 0.85) -> DataFrame:
     """(song_id, pos, artist, title) without songs whose title is nearly that of one of the artist's kept before it."""
     exact = songs.withColumn("_a", F.lower(F.trim(F.coalesce("artist", F.lit(""))))).withColumn("_t", X.normalize_title(F.col("title")))
-    exact = exact.withColumn("_k", F.row_number().over(Win.partitionBy("_a", "_t").orderBy("pos"))).where("_k = 1")
+    exact = exact.groupBy("_a", "_t").agg(F.min(F.struct("pos", "song_id", "artist", "title")).alias("r")).select("_a", "_t", "r.*")
 
     def greedy(rows: pd.DataFrame) -> pd.DataFrame:
         kept, keep = [], []

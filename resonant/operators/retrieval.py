@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from ..sources.tables import written
+
 K1, B = 1.5, 0.75
 
 
@@ -32,6 +34,18 @@ def document_frequency(docs: DataFrame) -> DataFrame:
     return term_counts(docs).groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
 
 
+def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
+    """rows with their position (from 0) in the order of a column without repeats, and no task that sorts them all.
+
+    Ranges of the column are sorted apart; the ranges' sizes, one row each, give where they start.
+    """
+    ranged = written(rows.repartitionByRange(by).withColumn("_part", F.spark_partition_id()), "ranges")
+    size = ranged.groupBy("_part").agg(F.count("*").alias("n"))
+    start = size.select("_part", (F.sum("n").over(Win.orderBy("_part")) - F.col("n")).alias("_start"))
+    place = F.row_number().over(Win.partitionBy("_part").orderBy(by)).cast("long") - 1
+    return ranged.join(F.broadcast(start), "_part").withColumn(name, place + F.col("_start")).drop("_part", "_start")
+
+
 def vocabulary(docs: DataFrame, *, existing: DataFrame | None = None, min_df: int = 5, max_df_ratio: float = 0.5) -> DataFrame:
     """(term, df, col_idx); an existing vocabulary (term, ...) is kept whole, else bounds on df apply."""
     df = document_frequency(docs).select("term", "df")
@@ -40,7 +54,7 @@ def vocabulary(docs: DataFrame, *, existing: DataFrame | None = None, min_df: in
     else:
         most = docs.agg(F.floor(F.count("*") * max_df_ratio).alias("m")).scalar()
         kept = df.where((F.col("df") >= min_df) & (F.col("df") <= most))
-    return kept.withColumn("col_idx", F.row_number().over(Win.orderBy("term")).cast("long") - 1)
+    return numbered(kept, "term", "col_idx")
 
 
 def idf(n_docs: Column, df: Column, scheme: str = "bm25") -> Column:
