@@ -11,7 +11,7 @@ from pyspark.sql import Row, functions as F
 
 from resonant.functions import text as X
 from resonant.functions.stemming import stem
-from resonant.operators import dedup, emotion, expansion as Q, graph as G, learning as L, posts as P, retrieval as R, topics as T, vectors as V
+from resonant.operators import dedup, emotion, expansion as Q, graph as G, learning as L, posts as P, reports, retrieval as R, topics as T, vectors as V
 from resonant.sources import tables as S
 
 
@@ -263,3 +263,13 @@ def test_index_and_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert [(r.query_id, r.doc_id) for r in got] == [(5, 1)]
+
+
+def test_reports(spark):
+    songs = spark.createDataFrame([(f"s{i}", "[Chorus]\nla [x2]" if i % 2 else "[Chorus] [Chorus]") for i in range(14)] + [("z", None)], "song_id string, lyrics string")
+    got = {r.phrase: (r["class"], r.n, r.examples) for r in reports.bracket_report(songs).collect()}
+    assert got == {"Chorus": ("section_marker", 21, ["s0", "s1", "s10", "s11", "s12"]), "x2": ("repeat_marker", 7, ["s1", "s11", "s13", "s3", "s5"])}
+    weeks = spark.createDataFrame([("2023-01-01", "Song", "A feat. B"), ("2023-01-08", "Song", "A"), ("2024-01-01", "Song", "A")], "day string, title string, artist string")
+    assert sorted(map(tuple, reports.yearly_charts(weeks.withColumn("day", F.to_date("day"))).collect())) == [(2023, "Song", "A"), (2024, "Song", "A")]
+    posts = spark.createDataFrame([(2, 4), (2, 2), (0, 3)], "n_clean int, n_expanded int")
+    assert {r.bin: r.n for r in reports.ratio_histogram(posts, 2).collect()} == {1: 1, 2: 1}
