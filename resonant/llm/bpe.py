@@ -30,7 +30,8 @@ from .words import chunks
 
 #: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-CACHE = 300_000
+#: Entries of each of a worker's stores, which are emptied after every task.
+CACHE = 200_000
 _LAST = 1 << 60
 
 
@@ -152,6 +153,11 @@ class Coder:
             at = m.end()
         return out + list(map(self.pieces.__getitem__, self.split.findall(text[at:])))
 
+    def forget(self) -> None:
+        """Empty the stores that grow with the texts."""
+        for store in (self.pieces, self.undone, self.fits):
+            store.clear()
+
     def encode(self, text: str) -> list[int]:
         return [int(i) for x in self.written(text) for i in x.split(",")]
 
@@ -241,6 +247,7 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
                 back.append(hashlib.sha256(b"".join(map(c.undone.__getitem__, out)).decode("utf-8", "replace").encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+        c.forget()
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
@@ -264,6 +271,7 @@ def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None
                     back.append(hashlib.sha256(b"".join(map(c.undone.__getitem__, out)).decode("utf-8", "replace").encode()).hexdigest())
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), lists, pa.array(np.diff(first), pa.int64()), pa.array(back, pa.string())], ["_row", "ids", "n_tokens", "decoded_sha256"])
+        c.forget()
 
     source = documents.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_text"))
     kind = source.schema["_row"].dataType.simpleString()
