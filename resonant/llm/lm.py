@@ -281,8 +281,8 @@ def train(texts: DataFrame) -> Model:
         put(folder, f"freq-{r}.npy", counts)
         return pa.table([pa.array([r], pa.int64()), pa.array([len(keys)], pa.int64()), pa.array([int(counts.sum())], pa.int64())], ["r", "v", "n"])
 
-    sent = texts.select("text").mapInArrow(_count_words(m.log_words), "r long, k binary, c binary")
-    own = {r["r"]: r for r in sent.groupBy("r").applyInArrow(store_words, "r long, v long, n long").collect()}
+    sent = texts.select("text").mapInArrow(W.tidied(_count_words(m.log_words)), "r long, k binary, c binary")
+    own = {r["r"]: r for r in sent.groupBy("r").applyInArrow(W.tidied(store_words), "r long, v long, n long").collect()}
     sizes = [own[r]["v"] if r in own else 0 for r in range(1 << m.log_words)]
     m.first_id = [int(x) for x in np.concatenate([[0], np.cumsum(sizes)])]
     m.words, m.tokens = m.first_id[-1], sum(r["n"] for r in own.values())
@@ -292,15 +292,15 @@ def train(texts: DataFrame) -> Model:
     m.log_pairs = min(max(0, (m.tokens // PER_RANGE).bit_length()), m.bits - 1)
     m.id_width = max(1 << 16, -(-(m.words + 1) // 1024)) if m.words < 1 << 30 else 1 << 21
     m.pair_ranges = frozenset()
-    sent = texts.select("text").mapInArrow(_count_pairs(m), "r long, k binary, c binary")
-    stats = sent.groupBy("r").applyInArrow(_store_pairs(m), _STATS)
+    sent = texts.select("text").mapInArrow(W.tidied(_count_pairs(m)), "r long, k binary, c binary")
+    stats = sent.groupBy("r").applyInArrow(W.tidied(_store_pairs(m)), _STATS)
     path = f"{m.folder}/stats"
     stats.write.parquet(path)
     stats = spark.read.schema(_STATS).parquet(path)
     tallies = [(r["r"], large(bytes(r["k"]))) for r in stats.where("kind = 0").select("r", "k").collect()]
     m.pair_ranges = frozenset(r for r, _ in tallies)
     m.d = discounts(*(int(sum(x[j] for _, x in tallies)) for j in range(4)))
-    done = stats.where("kind > 0").groupBy("r").applyInArrow(_store_ids(m), "r long, n binary").collect()
+    done = stats.where("kind > 0").groupBy("r").applyInArrow(W.tidied(_store_ids(m)), "r long, n binary").collect()
     n = np.sum([large(bytes(r["n"])) for r in done], axis=0)
     m.d1 = discounts(*map(int, n[:4]))
     m.sum1 = int(n[5])
@@ -349,7 +349,7 @@ def _scores(m: Model):
 def score(documents: DataFrame, m: Model) -> DataFrame:
     """(doc_id, n_tokens, n_known, base_score, score) of every whole text."""
     kind = documents.schema["doc_id"].dataType.simpleString()
-    return documents.select("doc_id", "text").mapInArrow(_scores(m), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
+    return documents.select("doc_id", "text").mapInArrow(W.tidied(_scores(m)), f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")
 
 
 def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", folds: int = 7, held_out: int = 2) -> DataFrame:

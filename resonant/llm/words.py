@@ -7,7 +7,10 @@ column without decoding it. Every function works on whole texts.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import inspect
+from collections.abc import Callable, Iterator
+from functools import wraps
 from typing import NamedTuple
 
 import numpy as np
@@ -52,6 +55,32 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
+def tidy() -> None:
+    """Give freed memory back to the system; workers wait for their next task with what they keep."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
+def tidied(run: Callable) -> Callable:
+    """A batch or group function that tidies up after itself."""
+
+    @wraps(run)
+    def batches(it):
+        yield from run(it)
+        tidy()
+
+    @wraps(run)
+    def group(t):
+        out = run(t)
+        tidy()
+        return out
+
+    return batches if inspect.isgeneratorfunction(run) else group
+
+
 class Words(NamedTuple):
     data: np.ndarray  # lower-cased bytes of the chunk's texts
     start: np.ndarray  # byte at which each word starts
