@@ -106,9 +106,10 @@ def scan(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "t
     new = update_ledger(versions, ledger, text=text, rule_version=rule_version)
     whole = new if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(new)
     found = whole.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
-    rows = addressed(versions, text).alias("v").join(found, F.col("blob") == F.col("_blob"), "left")
-    kept = [F.col(f"v.`{c}`") for c in versions.columns if c not in ("findings", "blob")]
-    return rows.select(*kept, F.coalesce("_findings", F.array().cast(FINDINGS)).alias("findings")), whole
+    rows = versions.select(F.struct(*versions.columns).alias("_row"), F.col(text).cast("string").alias("_text"))
+    rows = addressed(rows, "_text").join(found, F.col("blob") == F.col("_blob"), "left")
+    findings = F.coalesce("_findings", F.array().cast(FINDINGS))
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in versions.columns if c != "findings"), findings.alias("findings")), whole
 
 
 def _listed(findings: F.Column) -> F.Column:
@@ -126,12 +127,14 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text")
 
 def redact(documents: DataFrame, *, text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every found span of `text` replaced by a mark; overlapping spans become one mark."""
-    found, _ = scan(documents, text=text)
-    whole = F.col(text)
+    packed = documents.select(F.struct(*documents.columns).alias("row"), F.col(text).cast("string").alias("body"))
+    found, _ = scan(packed, text="body")
+    whole = F.col("body")
     cut = F.aggregate(
         "findings",
         F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")),
         lambda a, x: F.when(x["start"] >= a["at"], F.struct(F.concat(a["out"], whole.substr((a["at"] + 1).cast("int"), (x["start"] - a["at"]).cast("int")), F.lit(mark)).alias("out"), x["end"].alias("at"))).otherwise(F.struct(a["out"].alias("out"), F.greatest(a["at"], x["end"]).alias("at"))),
         lambda a: F.concat(a["out"], whole.substr((a["at"] + 1).cast("int"), F.length(whole))),
     )
-    return found.withColumn(text, F.when(F.size("findings") > 0, cut).otherwise(whole)).select(*documents.columns)
+    clean = F.when(F.size("findings") > 0, cut).otherwise(whole)
+    return found.select(*(clean.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in documents.columns))
