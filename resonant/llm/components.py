@@ -6,23 +6,33 @@ from pyspark.sql import DataFrame, functions as F
 
 from .spark_io import written
 
+#: Steps between two tables written to the shared folder.
+STEPS = 2
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+
+def _step(labels: DataFrame, both: DataFrame) -> DataFrame:
+    """The smallest label among a node and its neighbours, then that label's own label."""
+    around = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+    moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"))
+    own = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return moved.join(own, "root").select("node", F.least("root", "next").alias("root"))
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the component's smallest node.
 
-    Each round takes the smallest label among a node and its neighbours, then jumps to that label's
-    own label, so the rounds grow with the logarithm of the longest path. Every round is written
-    to the shared folder. Hot nodes are pre-aggregated before the shuffle.
+    Labels spread to neighbours and jump to their own labels, so the rounds grow with the logarithm
+    of the longest path. Every round is written to the shared folder. Hot nodes are pre-aggregated
+    before the shuffle.
     """
-    both = written(edges.select("a", "b").where("a != b").unionByName(edges.where("a != b").select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    edges = edges.where("a != b")
+    both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
-    labels = written(labels, "labels")
     for _ in range(rounds):
-        around = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-        moved = labels.join(around, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
-        own = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        jumped = moved.join(own, "root").select("node", "old", F.least("root", "next").alias("root"))
-        done = written(jumped, "labels")
+        moved = labels
+        for _ in range(STEPS):
+            moved = _step(moved, both)
+        done = written(moved.join(labels.select("node", F.col("root").alias("old")), "node"), "labels")
         labels = done.select("node", "root")
         if done.where("old != root").isEmpty():
             return labels

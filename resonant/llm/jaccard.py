@@ -46,6 +46,8 @@ KEY_BITS = 48
 GATHER = 1_000_000
 #: Shared keys and sets that a tile may hold.
 TILE_KEYS, TILE_SETS = 2_000_000, 4_000
+#: Most components whose id is broadcast.
+HOT = 1_000
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -253,27 +255,30 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     """Per row doc_id, n_shingles and component_id."""
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
-    rows = written(docs.mapInArrow(_classes(shingle), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
+    rows = written(docs.mapInArrow(W.tidied(_classes(shingle)), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
     log_ranges = max(3, docs.rdd.getNumPartitions().bit_length() + 1)
-    blocks = docs.select("text").mapInArrow(_blocks(shingle, log_ranges), _BLOCKS)
-    shared = blocks.groupBy("r").applyInArrow(_shared, _SHARED)
-    left = shared.groupBy("block").applyInArrow(_left(percent), _LEFT)
-    left = written(left, "candidates")
-    left = left.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "s", "keys", "prefix")))
-    left = written(left, "distinct-candidates")
+    blocks = docs.select("text").mapInArrow(W.tidied(_blocks(shingle, log_ranges)), _BLOCKS)
+    shared = blocks.groupBy("r").applyInArrow(W.tidied(_shared), _SHARED)
+    left = shared.groupBy("block").applyInArrow(W.tidied(_left(percent)), _LEFT)
+    left = written(left.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "s", "keys", "prefix"))), "candidates")
 
     met = left.select("cls", F.explode("prefix").alias("key"))
     stars = met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
     groups = components(met.join(stars, "key").select(F.col("cls").alias("a"), "b"))
     grouped = left.select("cls", "n", "s", "keys").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
-    links = _tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(_tile(percent), "a binary, b binary")
+    links = _tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary")
     linked = components(links)
 
     alone = F.concat(F.lit("alone "), F.coalesce(F.to_json(F.struct("doc_id")), F.lit(""))).cast("binary")
     rooted = rows.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls", alone).alias("root"))
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rooted.join(least, "root")
-    return joined.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
+    # Roots of a thousandth of all rows or more are at most a thousand, so these may be broadcast;
+    # their rows, however many, then need not meet in one task.
+    hot = least.where(F.col("c") * HOT >= rows.count()).select("root", F.struct("component_id").alias("hot"))
+    marked = rooted.join(F.broadcast(hot), "root", "left")
+    known = marked.where("hot is not null").select("doc_id", "n_shingles", F.col("hot.component_id").alias("component_id"))
+    other = marked.where("hot is null").drop("hot").join(least.drop("c"), "root").select("doc_id", "n_shingles", "component_id")
+    return known.unionByName(other).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -281,8 +286,8 @@ def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text"
 
     Rows are told apart by their place in the input, which must read the same each time (a table).
     """
-    placed = documents.withColumn("_row", F.monotonically_increasing_id())
-    keyed = placed.select(F.struct(F.col(doc_id).isNull().alias("z"), F.col(doc_id).alias("id"), F.col("_row").alias("row")).alias("doc_id"), F.col(text).alias("text"))
+    placed = documents.select(F.struct(*documents.columns).alias("doc"), F.monotonically_increasing_id().alias("row"))
+    keyed = placed.select(F.struct(F.col("doc").getField(doc_id).isNull().alias("z"), F.col("doc").getField(doc_id).alias("id"), "row").alias("doc_id"), F.col("doc").getField(text).alias("text"))
     found = join(keyed, shingle=shingle, percent=percent)
-    kept = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id.row").alias("_row"))
-    return placed.join(kept, "_row", "left_semi").select(*documents.columns)
+    kept = found.where("doc_id = component_id or n_shingles = 0").select(F.col("doc_id.row").alias("row"))
+    return placed.join(kept, "row", "left_semi").select("doc.*")

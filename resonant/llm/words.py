@@ -128,12 +128,15 @@ def cut(data: np.ndarray, off: np.ndarray, is_word: np.ndarray, hashed: bool = T
         crossed = inner[(inside[inner] == 1) & (inside[inner + 1] == 1)]
         if len(crossed):
             start, end = np.sort(np.concatenate([start, crossed])), np.sort(np.concatenate([end, crossed]))
-    if hashed:
-        total = np.zeros(n + 1, np.uint64)
-        np.cumsum(_BYTE_CODE[data] * _power(0, n), out=total[1:])
-        h = mix((total[end] - total[start]) * _power(1, n + 1)[start] + (end - start).astype(np.uint64) * U(0x9E3779B97F4A7C15))
-    else:
-        h = np.zeros(0, np.uint64)
+    h = np.zeros(len(start) if hashed else 0, np.uint64)
+    i = 0
+    while i < len(h):  # by stretches of words, so that a very long text needs no more memory than a chunk
+        j = max(i + 1, int(np.searchsorted(end, start[i] + CHUNK_BYTES, "right")))
+        part, at, to = data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[part] * _power(0, len(part)), out=total[1:])
+        h[i:j] = mix((total[to] - total[at]) * _power(1, len(part) + 1)[at] + (to - at).astype(np.uint64) * U(0x9E3779B97F4A7C15))
+        i = j
     return Words(data, start, end, h, np.searchsorted(start, off))
 
 

@@ -77,6 +77,15 @@ def test_word_cuts(texts, limit):
         assert got == [pattern.findall((t or "").translate(LOWER)) for t in texts]
 
 
+def test_long_texts_by_stretches(monkeypatch):
+    data = np.frombuffer(("word élan x" * 50 + " " + "y" * 300 + " ").encode() * 20, np.uint8)
+    off = np.array([0, len(data)])
+    whole = W.cut(data, off, W.NOT_SPACE)
+    monkeypatch.setattr(W, "CHUNK_BYTES", 64)
+    for a, b in zip(whole, W.cut(data, off, W.NOT_SPACE)):
+        assert np.array_equal(a, b)
+
+
 @given(st.lists(st.integers(0, 2**64 - 1)))
 def test_packing(keys):
     keys = np.array(sorted(keys), np.uint64)
