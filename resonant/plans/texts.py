@@ -128,14 +128,14 @@ def _features(s, d):
     p = table(s, d, "part")
     unit = lambda c, m: (c % m) / F.lit(float(m))
     return p.select(
-        F.col("p_partkey").alias("song_id"), unit(F.col("p_partkey"), 97).alias("valence"), unit(F.col("p_size") * 7, 50).alias("energy"), unit(F.col("p_partkey") * 3, 31).alias("danceability"),
-        F.when(F.col("p_size") > 5, unit(F.col("p_partkey"), 11)).alias("acousticness"), (40.0 + F.col("p_size") * 3).alias("tempo"),
+        F.col("p_partkey").alias("song_id"), "p_size", unit(F.col("p_partkey"), 97).alias("valence"), unit(F.col("p_size") * 7, 50).alias("energy"), unit(F.col("p_partkey") * 3, 31).alias("danceability"),
+        F.when(F.col("p_size") > 20, unit(F.col("p_partkey"), 11)).alias("acousticness"), (40.0 + F.col("p_size") * 3).alias("tempo"),
     )
 
 
 def melody_emotion(s, d):
     f = _features(s, d)
-    return emotion.from_audio(f.select("song_id"), f.where("song_id % 10 != 0")).select("song_id", *(F.round(F.col("vec")[i], 6).alias(e) for i, e in enumerate(C.EMOTIONS)))
+    return emotion.from_audio(f.select("song_id"), f.where("p_size > 5")).select("song_id", *(F.round(F.col("vec")[i], 6).alias(e) for i, e in enumerate(C.EMOTIONS)))
 
 
 def emotion_blend(s, d):
@@ -229,13 +229,13 @@ es AS (SELECT emoji, {', '.join(f"CASE WHEN coalesce({_TOTAL}, 0) > 0 THEN {e} /
 po AS (SELECT id, unnest(regexp_extract_all(t, '[{_CLASSES}]')) AS emoji FROM {_PO}),
 ps AS (SELECT id, count(*) AS used, {', '.join(f"sum({e}) AS {e}" for e in C.EMOTIONS)} FROM po JOIN es USING (emoji) GROUP BY id),
 r AS (SELECT p.id, {_shares()}, coalesce(used, 0) AS used, len(regexp_extract_all(t, '[{_CLASSES}]')) AS seen FROM {_PO.replace('AS v(', 'AS p(')} LEFT JOIN ps ON p.id = ps.id)"""
-_FE = "SELECT p_partkey AS song_id, (p_partkey % 97) / 97.0::DOUBLE AS v, ((p_size * 7) % 50) / 50.0::DOUBLE AS e, ((p_partkey * 3) % 31) / 31.0::DOUBLE AS d, CASE WHEN p_size > 5 THEN (p_partkey % 11) / 11.0::DOUBLE ELSE 0 END AS a, least(greatest((40.0 + p_size * 3 - 60) / 120.0::DOUBLE, 0), 1) AS t FROM part"
+_FE = "SELECT p_partkey AS song_id, p_size, (p_partkey % 97) / 97.0::DOUBLE AS v, ((p_size * 7) % 50) / 50.0::DOUBLE AS e, ((p_partkey * 3) % 31) / 31.0::DOUBLE AS d, CASE WHEN p_size > 20 THEN (p_partkey % 11) / 11.0::DOUBLE ELSE 0 END AS a, least(greatest((40.0 + p_size * 3 - 60) / 120.0::DOUBLE, 0), 1) AS t FROM part"
 _RAW = {
     "joy": "0.60 * v + 0.15 * (1 - a) + 0.10 * (1 - abs(e - 0.5))", "anger": "0.55 * e + 0.25 * (1 - v) + 0.20 * t", "fear": "0.40 * (1 - v) + 0.35 * (1 - e) + 0.25 * a",
     "sadness": "0.45 * (1 - v) + 0.30 * a + 0.25 * (1 - e)", "surprise": "0.50 * t + 0.30 * e + 0.20 * (1 - d)", "disgust": "0.45 * (1 - v) + 0.35 * e + 0.20 * (1 - d)",
     "excitement": "0.35 * v + 0.30 * e + 0.20 * d + 0.15 * t", "neutral": "0.35 * (1 - 2 * abs(v - 0.5)) + 0.35 * (1 - 2 * abs(e - 0.5)) + 0.30 * a",
 }
-_MEL = f"WITH f AS ({_FE}), r AS (SELECT song_id, {', '.join(f'greatest({x}, 0)::DOUBLE AS {k}' for k, x in _RAW.items())} FROM f), m AS (SELECT song_id, {', '.join(f'{e} / ({_TOTAL}) AS {e}' for e in C.EMOTIONS)} FROM r)"
+_MEL = f"WITH f AS ({_FE}), r AS (SELECT song_id, p_size, {', '.join(f'greatest({x}, 0)::DOUBLE AS {k}' for k, x in _RAW.items())} FROM f), m AS (SELECT song_id, p_size, {', '.join(f'{e} / ({_TOTAL}) AS {e}' for e in C.EMOTIONS)} FROM r)"
 
 ORACLE_SQL = {
     "normalize_title": "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name || '-' || p_brand), '[^a-z0-9 ]+', ' ', 'g'), '\\s+', ' ', 'g')) AS title FROM part",
@@ -257,7 +257,7 @@ c AS (SELECT doc_id, CASE WHEN spot > 1 THEN l[spot:] ELSE l END AS l FROM f), o
 s AS (SELECT doc_id, {_SUMS} FROM t JOIN lx USING (word) GROUP BY doc_id) SELECT doc_id, {_shares()} FROM documents LEFT JOIN s USING (doc_id)""",
     "emoji_emotion": f"{_EMOJI_SQL} SELECT * FROM r",
     "emoji_coverage": f"{_EMOJI_SQL} SELECT count(*) AS n, count(*) FILTER (seen > 0) AS with_emoji, count(*) FILTER (used > 0) AS covered FROM r",
-    "melody_emotion": f"{_MEL} SELECT song_id, {', '.join(f'round(CASE WHEN song_id % 10 <> 0 THEN {e} ELSE {float(e == chr(110) + "eutral")} END, 6) AS {e}' for e in C.EMOTIONS)} FROM m",
+    "melody_emotion": f"{_MEL} SELECT song_id, {', '.join(f'round(CASE WHEN p_size > 5 THEN {e} ELSE {float(e == chr(110) + "eutral")} END, 6) AS {e}' for e in C.EMOTIONS)} FROM m",
     "emotion_blend": f"{_MEL} SELECT song_id, {', '.join(f'round({e} * 0.7 + (song_id % 8 = {i})::INT * (1 - 0.7::DOUBLE), 6) AS {e}' for i, e in enumerate(C.EMOTIONS))} FROM m",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "porter_tokens", "stem_vocabulary", "fuzzy_pairs", "fuzzy_dedupe", "hashtag_split", "post_clean_tokens", "query_expansion"]}

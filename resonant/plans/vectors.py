@@ -9,8 +9,8 @@ from ..operators import graph as G, learning as L, retrieval as R, topics as T,
 from ..sources.tables import table
 
 K = 10
-#: Items of the stated query set of the graph queries.
-N_QUERIES = 5
+#: The stated query set of the searches: every id that is divisible by 20, against all rows.
+QUERY_STEP = 20
 
 
 def _vectors(s: SparkSession, d: str) -> DataFrame:
@@ -53,7 +53,7 @@ def graph_stats(s, d):
 
 def _teleport(s, d):
     h = _halves(s, d)
-    q = h.where(f"id < {N_QUERIES}").select(F.col("id").alias("query_id"), F.col("emotion").alias("qe"), F.col("topic").alias("qt"))
+    q = h.where(f"id % {QUERY_STEP} = 0").select(F.col("id").alias("query_id"), F.col("emotion").alias("qe"), F.col("topic").alias("qt"))
     return G.teleport(F.broadcast(q), h)
 
 
@@ -141,7 +141,7 @@ def class_report(s, d):
 def rerank_fusion(s, d):
     """Neighbours of the queries, ranked again by similarity, emotion and topic."""
     h = _halves(s, d)
-    c = V.neighbours(_vectors(s, d).where(f"id < {N_QUERIES}"), _vectors(s, d), top=20).select(F.col("src").alias("query_id"), F.col("dst").alias("doc_id"), F.round("sim", 6).alias("score"))
+    c = V.neighbours(_vectors(s, d).where(f"id % {QUERY_STEP} = 0"), _vectors(s, d), top=20).select(F.col("src").alias("query_id"), F.col("dst").alias("doc_id"), F.round("sim", 6).alias("score"))
     out = R.rerank(c, h.withColumnRenamed("id", "query_id"), h.withColumnRenamed("id", "doc_id"))
     return out.select("query_id", "rank", "doc_id", "fused")
 
@@ -174,7 +174,7 @@ def _cos(a: str, b: str) -> str:
 _PAIRS = f"e AS ({_E}), p AS (SELECT a.id AS src, b.id AS dst, {_cos('a.vec', 'b.vec')} AS sim FROM e a, e b WHERE a.id <> b.id)"
 _TOPM = f"{_PAIRS}, k AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst DESC) AS r FROM p), g AS (SELECT src, dst, sim AS weight FROM k WHERE r <= 20 AND sim > 0)"
 _HALF = "h AS (SELECT id, vec[1:8] AS em, vec[9:28] AS tp FROM e)"
-_TELE = f"{_HALF}, s AS (SELECT q.id AS query_id, h.id, 0.6 * coalesce({_cos('q.em', 'h.em')}, 0) + 0.4 * coalesce({_cos('q.tp', 'h.tp')}, 0) AS s FROM h q, h WHERE q.id < {N_QUERIES}), v AS (SELECT query_id, id, CASE WHEN sum(s) OVER w > 0 THEN s / sum(s) OVER w ELSE 1.0 / count(*) OVER w END AS v FROM s WINDOW w AS (PARTITION BY query_id))"
+_TELE = f"{_HALF}, s AS (SELECT q.id AS query_id, h.id, 0.6 * coalesce({_cos('q.em', 'h.em')}, 0) + 0.4 * coalesce({_cos('q.tp', 'h.tp')}, 0) AS s FROM h q, h WHERE q.id % {QUERY_STEP} = 0), v AS (SELECT query_id, id, CASE WHEN sum(s) OVER w > 0 THEN s / sum(s) OVER w ELSE 1.0 / count(*) OVER w END AS v FROM s WINDOW w AS (PARTITION BY query_id))"
 _WALK = "m AS (SELECT src, dst, weight / sum(weight) OVER (PARTITION BY src) AS w FROM g), r0 AS (SELECT query_id, id, v, 1.0 / count(*) OVER (PARTITION BY query_id) AS r FROM v)"
 for _i in range(3):
     _WALK += f", r{_i + 1} AS (SELECT a.query_id, a.id, any_value(a.v) AS v, 0.15::DOUBLE * coalesce(sum(m.w * b.r), 0) + 0.85::DOUBLE * any_value(a.v) AS r FROM r{_i} a LEFT JOIN m ON m.src = a.id LEFT JOIN r{_i} b ON b.query_id = a.query_id AND b.id = m.dst GROUP BY ALL)"
@@ -217,6 +217,6 @@ ORACLE_SQL = {
     "threshold_hit_accuracy": f"WITH {_P} SELECT round(avg((CASE WHEN list_max(p) >= 0.2 THEN p[label + 1] >= 0.2 ELSE list_position(p, list_max(p)) = label + 1 END)::INT), 6) AS accuracy FROM p",
     "confusion_matrix": "SELECT quality AS label, 1 - toxic AS predicted, count(*) AS n FROM labels GROUP BY ALL",
     "class_report": "WITH l AS (SELECT quality AS y, 1 - toxic AS p FROM labels), c AS (SELECT y AS label, count(*) AS support, count(*) FILTER (y = p) AS hit FROM l GROUP BY y), s AS (SELECT c.*, (SELECT count(*) FROM l WHERE p = c.label) AS said FROM c) SELECT label, support, round(coalesce(hit / nullif(said, 0)::DOUBLE, 0), 6) AS precision, round(hit / support::DOUBLE, 6) AS recall, round(coalesce(2 * hit / nullif(said + support, 0)::DOUBLE, 0), 6) AS f1 FROM s",
-    "rerank_fusion": f"WITH {_PAIRS}, {_HALF}, k AS (SELECT src, dst, round(sim, 6) AS sim, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst DESC) AS r FROM p WHERE src < {N_QUERIES}), f AS (SELECT src AS query_id, dst AS doc_id, round(0.5 * k.sim + 0.3 * coalesce({_cos('a.em', 'b.em')}, 0) + 0.2 * coalesce({_cos('a.tp', 'b.tp')}, 0), 6) AS fused FROM k JOIN h a ON a.id = src JOIN h b ON b.id = dst WHERE r <= 20) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id DESC))::INT AS rank, doc_id, fused FROM f",
+    "rerank_fusion": f"WITH {_PAIRS}, {_HALF}, k AS (SELECT src, dst, round(sim, 6) AS sim, row_number() OVER (PARTITION BY src ORDER BY round(sim, 9) DESC, dst DESC) AS r FROM p WHERE src % {QUERY_STEP} = 0), f AS (SELECT src AS query_id, dst AS doc_id, round(0.5 * k.sim + 0.3 * coalesce({_cos('a.em', 'b.em')}, 0) + 0.2 * coalesce({_cos('a.tp', 'b.tp')}, 0), 6) AS fused FROM k JOIN h a ON a.id = src JOIN h b ON b.id = dst WHERE r <= 20) SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, doc_id DESC))::INT AS rank, doc_id, fused FROM f",
 }
 QUERIES = {n: globals()[n] for n in [*ORACLE_SQL, "ppr_converged", "kmeans_scan", "logreg_eval"]}
