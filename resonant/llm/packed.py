@@ -72,7 +72,7 @@ def put(folder: str, name: str, array: np.ndarray) -> None:
     store.move(draft, f"{base}/{name}")
 
 
-@lru_cache(maxsize=4096)
+@lru_cache(maxsize=512)  # each holds a file open
 def view(folder: str, name: str) -> np.ndarray:
     """An array of the shared folder, mapped into memory; from a remote store it is fetched once for each worker."""
     at = _local(folder)
