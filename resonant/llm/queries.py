@@ -54,4 +54,4 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op7_jaccard, op8_quality, op9_toxicity, op10_lm)}
-ORACLE_SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op7_jaccard": sql.OP7, "op8_quality": sql.OP8}
+ORACLE_SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op6_url_filter": sql.OP6, "op7_jaccard": sql.OP7, "op8_quality": sql.OP8}

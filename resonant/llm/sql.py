@@ -1,13 +1,13 @@
 """DuckDB SQL for the corpus operators that SQL can express.
 
 The others need what SQL lacks: positions of matches (op4), merges in rank order (op2, op5), nested
-markup (op3) and models trained in the session (op6, op9, op10). Tests hold those against
+markup (op3) and models trained in the session (op9, op10). Tests hold those against
 brute-force versions.
 """
 
 from __future__ import annotations
 
-from . import quality
+from . import quality, url_filter
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPACED = r"[^\x20\x09-\x0D]+"
@@ -63,3 +63,32 @@ length(regexp_replace(t, '[^!]+', '', 'g')) AS n_bangs, len(lines) AS n_lines, (
 len(list_filter(w, lambda x: list_contains([{_STOP}], rtrim(lower(x), '.,;:!?')))) AS n_stop, coalesce(c, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN nr USING (k)),
 f AS (SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {_rules()} AS kept FROM f"""
+
+
+def _case(tree) -> str:
+    if not isinstance(tree, url_filter.Node):
+        return repr(float(tree))
+    return f"CASE WHEN f_{url_filter.FEATURES[tree.feature]} <= {tree.cut!r} THEN {_case(tree.low)} ELSE {_case(tree.high)} END"
+
+
+def _op6() -> str:
+    trees, rates = url_filter.train()
+    score = " + ".join(f"0.5 * ({_case(t)})" for t in trees)
+    suffix = "CASE split_part(host, '.', -1) " + " ".join(f"WHEN '{s}' THEN {r!r}" for s, r in rates.items()) + " ELSE 0 END"
+    rule = "CASE"
+    for _, r in sorted(url_filter.RULES, key=lambda x: -len(x[1])):
+        host, _, path = r.partition("/")
+        rule += f" WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}') THEN '{r}'"
+    verdict = "CASE rule " + " ".join(f"WHEN '{r}' THEN '{v}'" for v, r in url_filter.RULES) + " ELSE CASE WHEN score > 0 THEN 'block' ELSE 'allow' END END"
+    return f"""
+WITH u AS (SELECT page_id, coalesce(url, '') AS u FROM pages),
+r AS (SELECT *, CASE WHEN instr(u, '://') > 0 THEN substr(u, instr(u, '://') + 3) ELSE '' END AS rest FROM u),
+p AS (SELECT page_id, u, translate(regexp_extract(rest, '^[^/?#]*'), {_UPPER!r}, {_LOWER!r}) AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, greatest(length(u), 1)::DOUBLE AS n FROM r),
+f AS (SELECT *, length(u)::DOUBLE AS f_length, length(regexp_replace(path, '[^/]+', '', 'g'))::DOUBLE AS f_depth, length(regexp_replace(u, '[^0-9]+', '', 'g')) / n AS f_digits,
+coalesce(list_sum(list_transform(list_filter(list_distinct(string_split(u, '')), lambda c: c <> ''), lambda c: (length(replace(u, c, '')) / n - 1) * log2(greatest(1 - length(replace(u, c, '')) / n, 1e-12)))), 0) AS f_entropy,
+length(regexp_replace(u, '[^=]+', '', 'g'))::DOUBLE AS f_params, {suffix} AS f_suffix, length(regexp_replace(host, '[^-]+', '', 'g'))::DOUBLE AS f_hyphens FROM p),
+s AS (SELECT page_id, host, path, {rule} END AS rule, {score} AS score FROM f)
+SELECT page_id, host, path, rule, {verdict} AS verdict FROM s"""
+
+
+OP6 = _op6()

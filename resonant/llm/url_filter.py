@@ -14,10 +14,11 @@ columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import re
 import string
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 #: (verdict, host and path): a rule fits its host and all subdomains if the path starts with the rule's.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -152,15 +153,21 @@ def compiled(trees: list, rate: float = 0.5) -> Column:
     return out
 
 
-def train(spark: SparkSession, labelled: tuple[tuple[str, int], ...] = LABELLED) -> tuple[list, dict[str, float]]:
-    """Trees and suffix statistics from labelled URLs (a small table, by contract)."""
-    quoted = ", ".join("(%d, '%s', %d)" % (i, u.replace("\\", "\\\\").replace("'", "\\'"), y) for i, (u, y) in enumerate(labelled))
-    frame = spark.sql(f"SELECT * FROM VALUES {quoted} AS t(i, u, y)")
-    host, path = parts(F.col("u"))
-    frame = frame.select("i", "u", "y", host.alias("host"), path.alias("path"))
-    rates = _suffix_rates([(r["host"].rpartition(".")[2], r["y"]) for r in frame.select("i", "host", "y").orderBy("i").collect()])
-    rows = lexical(frame, "u", rates).orderBy("i").select(*("f_" + f for f in FEATURES), "y").collect()
-    return boost([tuple(r)[:-1] for r in rows], [r["y"] for r in rows]), rates
+def features(url: str, rates: dict[str, float]) -> tuple[float, ...]:
+    """The features of one labelled URL, as `lexical` computes them for pages."""
+    rest = url.partition("://")[2]
+    host = re.match(r"[^/?#]*", rest)[0].translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
+    path = re.match(r"[^/?#]*([^?#]*)", rest)[1]
+    n = max(len(url), 1)
+    entropy = -sum(url.count(c) / n * math.log2(url.count(c) / n) for c in dict.fromkeys(url))
+    return float(len(url)), float(path.count("/")), sum(c in string.digits for c in url) / n, entropy, float(url.count("=")), rates.get(host.rpartition(".")[2], 0.0), float(host.count("-"))
+
+
+def train(labelled: tuple[tuple[str, int], ...] = LABELLED) -> tuple[list, dict[str, float]]:
+    """Trees and suffix statistics from labelled URLs (a small table, by contract), on the driver."""
+    suffix = lambda u: re.match(r"[^/?#]*", u.partition("://")[2])[0].lower().rpartition(".")[2]
+    rates = _suffix_rates([(suffix(u), y) for u, y in labelled])
+    return boost([features(u, rates) for u, _ in labelled], [y for _, y in labelled]), rates
 
 
 def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RULES) -> Column:
@@ -174,7 +181,7 @@ def rule_for(host: Column, path: Column, rules: tuple[tuple[str, str], ...] = RU
 
 def judge(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", rules: tuple[tuple[str, str], ...] = RULES, labelled: tuple[tuple[str, int], ...] = LABELLED) -> DataFrame:
     """Per page page_id, host, path, rule and verdict, and the model's score (log-odds of block)."""
-    trees, rates = train(pages.sparkSession, labelled)
+    trees, rates = train(labelled)
     source = pages.select(F.col(page_id).alias("page_id"), F.coalesce(F.col(url).cast("string"), F.lit("")).alias("u"))
     host, path = parts(F.col("u"))
     cut = source.select("page_id", "u", host.alias("host"), path.alias("path"))
