@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as Win, functions as F
 from ..functions import constants as C
 from ..functions import text as X
 from ..operators import reports, retrieval as R, topics as T
-from ..sources.tables import table
+from ..sources.tables import spread_table as table
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:

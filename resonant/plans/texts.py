@@ -8,7 +8,7 @@ from ..functions import constants as C
 from ..functions import text as X
 from ..functions.stemming import stemmed
 from ..operators import dedup, emotion, expansion, posts, vectors as V
-from ..sources.tables import table
+from ..sources.tables import spread_table as table
 
 #: Small texts with what the generated tables lack.
 LYRICS = (

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import graph as G, learning as L, retrieval as R, topics as T, vectors as V
-from ..sources.tables import table
+from ..sources.tables import spread_table as table
 
 K = 10
 #: The stated query set of the searches: every id that is divisible by 20, against all rows.
