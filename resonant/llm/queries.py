@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, decontaminate, html_text, jaccard, lm, quality, secrets, sql, token_counts, toxicity, url_filter
-from .spark_io import table
+from .spark_io import spread_table, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,40 +17,40 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count(table(spark, sf_dir, "documents"))
+    return token_counts.count(spread_table(spark, sf_dir, "documents"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return html_text.report(table(spark, sf_dir, "pages"))
+    return html_text.report(spread_table(spark, sf_dir, "pages"))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secrets.report(spread_table(spark, sf_dir, "documents"))
 
 
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.report(table(spark, sf_dir, "documents"))
+    return bpe.report(spread_table(spark, sf_dir, "documents"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = url_filter.judge(table(spark, sf_dir, "pages"))
+    judged = url_filter.judge(spread_table(spark, sf_dir, "pages"))
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"))
+    return jaccard.join(spread_table(spark, sf_dir, "documents"))
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.report(table(spark, sf_dir, "documents"))
+    return quality.report(spread_table(spark, sf_dir, "documents"))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.report(spread_table(spark, sf_dir, "documents"), spread_table(spark, sf_dir, "labels"))
 
 
 def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.report(table(spark, sf_dir, "documents"))
+    return lm.report(spread_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op7_jaccard, op8_quality, op9_toxicity, op10_lm)}
