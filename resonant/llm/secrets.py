@@ -24,7 +24,8 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
 
-RULE_VERSION = "2"
+#: Rows of version 2 may lack findings, as its pre-test passed over some texts between others.
+RULE_VERSION = "2.1"
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
@@ -53,16 +54,11 @@ def find(text: str) -> list[tuple[int, int, int]]:
 
 def _suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Texts of a chunk that may hold a finding."""
-    lower = W.LOWER[data].tobytes()
-    at = [m.start() for needle in _NEEDLES for m in needle.finditer(lower)]
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = _IS_HEX[data]
-    step = np.diff(inside)
-    start, end = np.flatnonzero(step == 1), np.flatnonzero(step == -1)
-    at = np.concatenate([np.array(at, np.int64), start[end - start >= 24]])
-    # a run of hex digits that crosses into the next text: both are looked at
-    ends = np.concatenate([np.array([], np.int64), end[end - start >= 24] - 1])
-    at = np.unique(np.concatenate([at, ends]))
+    runs = W.cut(data, off, _IS_HEX, hashed=False)  # of either case; a run ends where its text does
+    lower = runs.data.tobytes()
+    # a needle may lie across texts and hide one that starts in its last text: both ends are looked at
+    at = [x for needle in _NEEDLES for m in needle.finditer(lower) for x in (m.start(), m.end() - 1)]
+    at = np.unique(np.concatenate([np.array(at, np.int64), runs.start[runs.end - runs.start >= 24]]))
     first = np.unique(np.searchsorted(off, at, "right") - 1)
     longest = np.flatnonzero(np.diff(off) == 0)
     return np.setdiff1d(first, longest)

@@ -200,6 +200,13 @@ def test_secret_kinds():
     assert [secrets.KINDS[k] for _, k, _ in secrets.find(text)] == ["github", "jwt", "pem"]
 
 
+def test_secret_suspects_keep_to_texts():
+    texts = ["0123456789abcdef" * 2, "fedcba9876543210" * 2, "00112233445566778899aabbccddeeff", "miyazaki", "AKIA" + "Q7" * 8, "", "plain"]
+    data, off = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *map(len, texts)])
+    assert {0, 1, 2, 4} <= set(secrets._suspects(data, off).tolist())
+    assert 6 not in secrets._suspects(data, off)
+
+
 def test_ledger_is_incremental(spark):
     first = spark.createDataFrame([("a", "token=abcdef"), ("b", "plain"), ("c", "token=abcdef")], "path string, text string")
     found, ledger = secrets.scan(first)
