@@ -11,17 +11,18 @@ Two texts link when 100 * |A & B| >= 85 * |A | B| for their sets of 4-word shing
 3. Sets with such a key in common form candidate groups (components over one star for each key).
 4. A group is a tile; a group too large for one is cut into size bands, in which linked sets are at
    most one band apart, and salted into tiles of pairs of pieces, so every pair of sets that can
-   link meets in a tile. In a tile, sizes bound the partners, bit counts of hashed bitmaps bound the
-   overlap from above, and what remains is intersected exactly as sorted arrays. Pairs that are
-   already connected need no test: only a spanning forest of the links leaves the tile.
-5. Components of the forests, joined back to all rows by the digest of their set.
+   link meets in a tile, and is tested in one tile only. In a tile, sizes bound the partners, bit
+   counts of hashed bitmaps bound the overlap from above, and what remains is intersected exactly.
+   Every pair is tested; a spanning forest of the links and each set's number of links leave the tile.
+5. Components of the forests and sums of the links, joined back to all rows by the digest of their set.
 
 Keys are 48-bit hashes of shingles, compared as such; sets are told apart by 128-bit digests.
 
 Defined results. Texts without words, and nulls, have an empty set, link with nothing and are their
 own component. Texts of fewer words than a shingle have one shingle, the whole sequence. Copies and
-repeated rows share a component. The component id is the smallest id that is not null. Extra
-columns are ignored; an empty table gives an empty result.
+repeated rows share a component and are links: n_links counts the other rows that a row links with. The
+component id is the smallest id that is not null. Extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -179,59 +180,89 @@ def _left(percent: int):
     return run
 
 
-def forest(n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
-    """Component label of each set of a tile, sets ordered by n; sets hold all keys that two of them can share."""
+def pairs(n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT, side: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(i, linked k > i) for the sets of a tile, ordered by n; sets hold all keys that two of them can share.
+
+    With sides, only sets of different sides are tested.
+    """
     m = len(sets)
     s = np.array([len(v) for v in sets])
+    flat = np.concatenate(sets)
     width = 1 << min(12, max(6, int(2 * np.median(s)).bit_length()))
     bits = np.zeros((m, width), bool)
-    bits[np.repeat(np.arange(m), s), (W.mix(np.concatenate(sets)) & W.U(width - 1)).astype(np.int64)] = True
+    bits[np.repeat(np.arange(m), s), (W.mix(flat) & W.U(width - 1)).astype(np.int64)] = True
     signature = np.packbits(bits, axis=1).view(np.uint64)
     del bits
-    label = np.arange(m)
+    # keys as small numbers, so that one set is a mask that many others are looked up in at once
+    known, number = np.unique(flat, return_inverse=True)
+    number = np.split(number.astype(np.int32), np.cumsum(s)[:-1])
+    mask = np.zeros(len(known), bool)
+    del flat, known
     until = np.searchsorted(n, n * 100 // percent, "right")
     for i in range(m - 1):
         j = np.arange(i + 1, until[i])
-        j = j[label[j] != label[i]]
+        if side is not None:
+            j = j[side[j] != side[i]]
         if not len(j):
             continue
         differ = np.bitwise_count(signature[j] ^ signature[i]).sum(1, dtype=np.int64)
         bound = (s[j] + s[i] - differ) // 2
-        for k in j[100 * bound >= percent * (n[j] + n[i] - bound)]:
-            if label[k] == label[i]:
-                continue
-            a, b = sets[i], sets[k]
-            at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-            same = int((b[at] == a).sum())
-            if 100 * same >= percent * (n[i] + n[k] - same):
-                label[label == label[k]] = label[i]
-    return label
+        j = j[100 * bound >= percent * (n[j] + n[i] - bound)]
+        if not len(j):
+            continue
+        mask[number[i]] = True
+        same = np.add.reduceat(mask[np.concatenate([number[k] for k in j])], np.cumsum(s[j]) - s[j], dtype=np.int64)
+        mask[number[i]] = False
+        j = j[100 * same >= percent * (n[i] + n[j] - same)]
+        if len(j):
+            yield i, j
+
+
+def linked(n: np.ndarray, sets: list[np.ndarray], rows: np.ndarray, percent: int = PERCENT, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Component label of each set of a tile, and the rows of all sets that it links with."""
+    label, links = np.arange(len(sets)), np.zeros(len(sets), np.int64)
+    for i, j in pairs(n, sets, percent, side):
+        links[i] += rows[j].sum()
+        links[j] += rows[i]
+        other = np.unique(label[j])
+        if len(other) > 1 or other[0] != label[i]:
+            label[np.isin(label, other)] = label[i]
+    return label, links
+
+
+def forest(n: np.ndarray, sets: list[np.ndarray], percent: int = PERCENT) -> np.ndarray:
+    """Component label of each set of a tile."""
+    return linked(n, sets, np.ones(len(sets), np.int64), percent)[0]
 
 
 def _tile(percent: int):
     def run(t: pa.Table) -> pa.Table:
+        """(a, b, links): of every linked set the least set of its component in the tile, and the rows that it links with."""
         n = np.array(t.column("n"), np.int64)
         order = np.argsort(n, kind="stable")
         keys = t.column("keys").to_pylist()
         cls = t.column("cls").to_pylist()
-        label = forest(n[order], [unpack(keys[i]) for i in order], percent)
+        # pieces meet others in one tile and themselves in another
+        within = t.column("kind")[0].as_py() < 2 and t.column("x")[0].as_py() == t.column("y")[0].as_py()
+        side = None if within else np.array(t.column("side"), np.int64)[order]
+        label, links = linked(n[order], [unpack(keys[i]) for i in order], np.array(t.column("copies"), np.int64)[order], percent, side)
         least: dict[int, bytes] = {}
         for c, i in zip(label.tolist(), order):
             least[c] = min(least.get(c, cls[i]), cls[i])
-        pairs = [(cls[i], least[c]) for c, i in zip(label.tolist(), order) if cls[i] != least[c]]
-        return pa.table([pa.array(c, pa.binary()) for c in (zip(*pairs) if pairs else ((), ()))], ["a", "b"])
+        out = [(cls[i], least[c], k) for c, i, k in zip(label.tolist(), order, links.tolist()) if k]
+        return pa.table([pa.array(c, kind) for c, kind in zip(zip(*out) if out else ((), (), ()), (pa.binary(), pa.binary(), pa.int64()))], ["a", "b", "links"])
 
     return run
 
 
 def _tiled(groups: DataFrame) -> DataFrame:
-    """Rows of (group, cls, n, s, keys), each once for every tile (group, band, kind, x, y) that it is in."""
+    """Rows of (group, cls, n, copies, keys, side), each once for every tile (group, band, kind, x, y) that it is in."""
     counts = groups.groupBy("group").agg(F.count("*").alias("sets"), F.sum("s").alias("total"))
     sized = groups.join(counts, "group")
     fits = (F.col("sets") <= TILE_SETS) & (F.col("total") <= TILE_KEYS)
-    columns = ["group", "cls", "n", "keys", "band", "kind", "x", "y"]
+    columns = ["group", "cls", "n", "copies", "keys", "band", "kind", "x", "y", "side"]
     zero = F.lit(0).cast("long")
-    few = sized.where(fits).select("group", "cls", "n", "keys", *(zero.alias(c) for c in columns[4:]))
+    few = sized.where(fits).select(*columns[:5], *(zero.alias(c) for c in columns[5:]))
     # bands a little wider than the size ratio of linked sets, so that rounding can't part them by two
     step = -math.log((PERCENT - 0.1) / 100)
     many = sized.where(~fits).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
@@ -239,20 +270,20 @@ def _tiled(groups: DataFrame) -> DataFrame:
     other = lambda by, name: pieces.select("group", (F.col("band") - by).alias("band"), F.col("p").alias(name))
     many = many.join(pieces, ["group", "band"]).join(other(1, "above"), ["group", "band"], "left").join(other(-1, "below"), ["group", "band"], "left")
     mine = F.pmod(F.xxhash64("cls"), "p")
-    spot = lambda band, kind, x, y: F.struct(band.cast("long").alias("band"), F.lit(kind).cast("long").alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"))
+    spot = lambda band, kind, x, y, side: F.struct(band.cast("long").alias("band"), F.lit(kind).cast("long").alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     upto = lambda n: F.sequence(zero, n - 1)
-    none = F.array().cast("array<struct<band:bigint,kind:bigint,x:bigint,y:bigint>>")
+    none = F.array().cast("array<struct<band:bigint,kind:bigint,x:bigint,y:bigint,side:bigint>>")
     spots = F.concat(
-        F.transform(upto(F.col("p")), lambda y: spot(F.col("band"), 1, F.least("mine", y), F.greatest("mine", y))),
-        F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda y: spot(F.col("band"), 2, F.col("mine"), y))).otherwise(none),
-        F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda y: spot(F.col("band") - 1, 2, y, F.col("mine")))).otherwise(none),
+        F.transform(upto(F.col("p")), lambda y: spot(F.col("band"), 1, F.least("mine", y), F.greatest("mine", y), F.col("mine") > y)),
+        F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda y: spot(F.col("band"), 2, F.col("mine"), y, F.lit(0)))).otherwise(none),
+        F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda y: spot(F.col("band") - 1, 2, y, F.col("mine"), F.lit(1)))).otherwise(none),
     )
-    many = many.withColumn("mine", mine).select("group", "cls", "n", "keys", F.explode(spots).alias("at")).select("group", "cls", "n", "keys", "at.*")
+    many = many.withColumn("mine", mine).select(*columns[:5], F.explode(spots).alias("at")).select(*columns[:5], "at.*")
     return few.unionByName(many)
 
 
 def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """Per row doc_id, n_shingles and component_id."""
+    """Per row doc_id, n_shingles, component_id and n_links."""
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = written(docs.mapInArrow(W.tidied(_classes(shingle)), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
@@ -265,20 +296,25 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     met = left.select("cls", F.explode("prefix").alias("key"))
     stars = met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
     groups = components(met.join(stars, "key").select(F.col("cls").alias("a"), "b"))
-    grouped = left.select("cls", "n", "s", "keys").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls")
-    links = _tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary")
-    linked = components(links)
+    copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
+    grouped = left.select("cls", "n", "s", "keys").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls").join(copies, "cls")
+    links = written(_tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary, links long"), "links")
+    roots = components(links).select(F.col("node").alias("cls"), "root")
+    others = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    known = roots.join(others, "cls").join(copies.where("copies > 1"), "cls", "full")
 
     alone = F.concat(F.lit("alone "), F.coalesce(F.to_json(F.struct("doc_id")), F.lit(""))).cast("binary")
-    rooted = rows.join(linked.select(F.col("node").alias("cls"), "root"), "cls", "left").select("doc_id", "n_shingles", F.coalesce("root", "cls", alone).alias("root"))
+    n_links = (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long")
+    rooted = rows.join(known, "cls", "left").select("doc_id", "n_shingles", n_links.alias("n_links"), F.coalesce("root", "cls", alone).alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
     # Roots of a thousandth of all rows or more are at most a thousand, so these may be broadcast;
     # their rows, however many, then need not meet in one task.
     hot = least.where(F.col("c") * HOT >= rows.count()).select("root", F.struct("component_id").alias("hot"))
     marked = rooted.join(F.broadcast(hot), "root", "left")
-    known = marked.where("hot is not null").select("doc_id", "n_shingles", F.col("hot.component_id").alias("component_id"))
-    other = marked.where("hot is null").drop("hot").join(least.drop("c"), "root").select("doc_id", "n_shingles", "component_id")
-    return known.unionByName(other).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    own = ["doc_id", "n_shingles", "n_links"]
+    most = marked.where("hot is not null").select(*own, F.col("hot.component_id").alias("component_id"))
+    other = marked.where("hot is null").drop("hot").join(least.drop("c"), "root").select(*own, "component_id")
+    return most.unionByName(other).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
 
 
 def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

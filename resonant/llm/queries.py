@@ -38,6 +38,11 @@ def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_links(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
+
+
+def jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op7 with the number of links of every row, which its SQL does not have."""
     return jaccard.join(spread_table(spark, sf_dir, "documents"))
 
 
@@ -53,5 +58,5 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.report(spread_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op7_jaccard, op8_quality, op9_toxicity, op10_lm)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_decontaminate, op2_token_counts, op3_html, op4_secrets, op5_bpe, op6_url_filter, op7_jaccard, jaccard_links, op8_quality, op9_toxicity, op10_lm)}
 ORACLE_SQL: dict[str, str] = {"op1_decontaminate": sql.OP1, "op6_url_filter": sql.OP6, "op7_jaccard": sql.OP7, "op8_quality": sql.OP8}

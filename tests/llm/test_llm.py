@@ -310,6 +310,18 @@ def test_jaccard(spark, documents, rows, tile, monkeypatch):
     compare(jaccard.join(more.repartition(3).transform(lambda d: _stable(spark, d))), linked(sets_of(rows + near)), ["n_shingles", "component_id"])
 
 
+@pytest.mark.parametrize("tile", [4000, 6])
+def test_jaccard_counts_all_links(spark, tile, monkeypatch):
+    monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    near = [(k, " ".join(f"w{j}" if j != 3 + 7 * (k % 13) else f"z{k}" for j in range(100 + k % 5 * 6))) for k in range(40)]
+    near += [(100 + k, near[k % 4][1]) for k in range(6)] + [(200, ""), (201, None), (202, "one two"), (203, "one two")]
+    sets = sets_of(near)
+    want = [(i, sum(100 * len(s & t) >= 85 * len(s | t) for j, t in sets if j != i and s)) for i, s in sets]
+    df = _stable(spark, spark.createDataFrame(near, "doc_id long, text string").repartition(3))
+    compare(jaccard.join(df), want, ["n_links"])
+    assert len({n for _, n in want}) > 5 and max(n for _, n in want) > 10
+
+
 def _stable(spark, df):
     from resonant.llm.spark_io import written
 
