@@ -147,8 +147,8 @@ def rerank_fusion(s, d):
 
 
 def kmeans_scan(s, d):
-    """Cost and silhouette for several K."""
-    scan = T.scan_k(_vectors(s, d), range(3, 7), seeds=2, max_iter=20)
+    """Cost and silhouette for K of 3 to 30, ten starts each."""
+    scan = T.scan_k(_vectors(s, d), range(3, 31))
     return s.createDataFrame([(k, float(c), float(x), k == T.best_k(scan)) for k, c, x in scan], "k int, cost double, silhouette double, best boolean")
 
 

@@ -12,8 +12,11 @@ from pyspark.sql import Row, functions as F
 from resonant.functions import text as X
 from resonant.functions.stemming import stem
 from resonant.operators import dedup, emotion, expansion as Q, graph as G, learning as L, posts as P, reports, retrieval as R, topics as T, vectors as V
+from resonant.plans import registry
 from resonant.sources import tables as S
 
+SF = "/root/testdata/sf0.001"
+
 
 def value(spark, column, data="x", x=None):
     return spark.createDataFrame([(x,)], f"{data} string").select(column.alias("v")).first()["v"]
@@ -227,6 +230,14 @@ def test_kmeans_settles(spark):
     assert T.silhouette(v, a, 3).first().silhouette > 0.9
 
 
+def test_kmeans_query_scans_all(spark, monkeypatch):
+    asked = []
+    monkeypatch.setattr(T, "scan_k", lambda v, ks, **more: asked.append((list(ks), more)) or [(k, 1.0, float(k == 10)) for k in ks])
+    got = registry.QUERIES["kmeans_scan"](spark, SF).collect()
+    assert asked == [(list(range(3, 31)), {})]
+    assert [r.k for r in got if r.best] == [10] and len(got) == 28
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("song_id,tokens\n a,x  y\nb,\na,z\n")
     assert {r.song_id.strip(): r.tokens for r in S.read_tokens_csv(spark, str(tmp_path / "t.csv"), last_wins=True).collect()} == {"a": ["z"], "b": []}
