@@ -156,7 +156,7 @@ def logreg_eval(s, d):
     """Held-out confusion of a quality classifier over the labelled documents."""
     rows = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
     rows = L.stratified(rows)
-    model = L.TextClassifier(features=1 << 14, max_iter=30).fit(rows.where("not is_test").select("text", "label"))
+    model = L.TextClassifier(features=50_000, max_iter=2000).fit(rows.where("not is_test").select("text", "label"))
     return L.confusion(model.predict(rows.where("is_test").select("doc_id", "text", "label")))
 
 

@@ -238,6 +238,14 @@ def test_kmeans_query_scans_all(spark, monkeypatch):
     assert [r.k for r in got if r.best] == [10] and len(got) == 28
 
 
+def test_logreg_query_is_whole(spark, monkeypatch):
+    made, fit = [], L.TextClassifier.fit
+    monkeypatch.setattr(L.TextClassifier, "fit", lambda self, rows: made.append(self) or fit(self, rows))
+    got = registry.QUERIES["logreg_eval"](spark, SF).collect()
+    assert (made[0].features, made[0].max_iter) == (50_000, 2000)
+    assert sum(r.n for r in got) > 0
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("song_id,tokens\n a,x  y\nb,\na,z\n")
     assert {r.song_id.strip(): r.tokens for r in S.read_tokens_csv(spark, str(tmp_path / "t.csv"), last_wins=True).collect()} == {"a": ["z"], "b": []}
