@@ -145,8 +145,8 @@ def emotion_blend(s, d):
 
 
 def porter_tokens(s, d):
-    """Stemmed tokens of the English documents and their counts."""
-    docs = table(s, d, "documents").where("lang = 'en'").select("doc_id", posts.lyric_tokens(X.clean_lyrics(F.col("text"))).alias("tokens"))
+    """Stemmed tokens of the documents and their counts."""
+    docs = table(s, d, "documents").select("doc_id", posts.lyric_tokens(X.clean_lyrics(F.col("text"))).alias("tokens"))
     return docs.select(F.explode("tokens").alias("stem")).groupBy("stem").agg(F.count("*").alias("n"))
 
 

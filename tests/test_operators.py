@@ -246,6 +246,13 @@ def test_logreg_query_is_whole(spark, monkeypatch):
     assert sum(r.n for r in got) > 0
 
 
+def test_porter_query_counts_every_language(spark, tmp_path):
+    rows = [(1, "running storms", "en"), (2, "running zorvek", "de"), (3, "storms", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.stem: r.n for r in registry.QUERIES["porter_tokens"](spark, str(tmp_path)).collect()}
+    assert got == {"run": 2, "storm": 2, "zorvek": 1}
+
+
 def test_sources(spark, tmp_path):
     (tmp_path / "t.csv").write_text("song_id,tokens\n a,x  y\nb,\na,z\n")
     assert {r.song_id.strip(): r.tokens for r in S.read_tokens_csv(spark, str(tmp_path / "t.csv"), last_wins=True).collect()} == {"a": ["z"], "b": []}
