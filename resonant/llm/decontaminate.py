@@ -238,8 +238,11 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, share: int = 20
 
 
 
-
 def keep_clean(documents: DataFrame, benchmark: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """The documents that are not contaminated, with their columns."""
+    """The documents in which no window of an item was found, with their columns.
+
+    `contaminated` asks for a share of the document's words; here any found window is enough, as a
+    long document would else carry a short item into the training data.
+    """
     keyed = documents.select(F.struct(*documents.columns).alias("doc_id"), F.col(text).alias("text"))
-    return decontaminate(keyed, benchmark, **options).where(~F.col("contaminated")).select("doc_id.*")
+    return decontaminate(keyed, benchmark, **options).where("n_hit = 0").select("doc_id.*")
