@@ -5,20 +5,22 @@ automaton reads the pre-token byte by byte and knows the longest suffix of what
 a token; suffix links lead to the shorter ones. The first of them, from the longest on, that the
 last token of the remaining prefix tolerates as its neighbour is the prefix's unique last token.
 Following the last tokens back from the end gives the ids that merging in rank order would give, in
-time linear in the pre-token's length. Two tokens tolerate each other if encoding their bytes
+time linear in the pre-token's length; distinct pre-tokens are taken in sorted order, and what they share
+at their beginnings is done once. Two tokens tolerate each other if encoding their bytes
 together gives just these two; that is found by undoing their merges from the latest on.
 
 Defined results. Null text is an empty text: no ids, and the digests are those of empty strings.
 The strings of special tokens become their ids, as the tokenizers library does by default. Repeated
-rows each get their row; extra columns are ignored. `decode` raises on an id that is not in the
-vocabulary and treats a null list as empty.
+rows each get their row; extra columns are ignored, except that `pack_documents` keeps them and replaces
+those named ids, n_tokens or decoded_sha256. Empty tables give empty results. Texts of any length are
+encoded whole: one text's distinct pre-tokens must fit in a worker's memory. `decode` raises on an id that
+is not in the vocabulary and treats a null list as empty.
 """
 
 from __future__ import annotations
 
 import hashlib
-import json
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -26,82 +28,39 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
 
+from .vocabulary import SPLIT, Store, Vocabulary, common, default_path, stretches
 from .words import chunks
 
-#: Fixed value: the pattern by which byte-level vocabularies of this kind split text.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Entries of each of a worker's stores, which are emptied after every task.
-CACHE = 200_000
+CACHE = 400_000
+#: Characters of text whose distinct pre-tokens are encoded together, and ids that are decoded at once.
+BATCH = 1 << 21
 _LAST = 1 << 60
 
 
-def default_path() -> str:
-    """The public byte-level vocabulary that the environment offers."""
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
-def _byte_of_char() -> dict[str, int]:
-    """Byte-level vocabularies write printable bytes as themselves and the others from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in set(shown)]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
-
-
-class Coder:
-    """A vocabulary with its automaton; everything derived is filled in as texts need it."""
+class Coder(Vocabulary):
+    """A vocabulary with its merges; everything derived is filled in as texts need it."""
 
     def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        byte = _byte_of_char()
-        raw = lambda token: bytes(byte[c] for c in token)
-        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        self.bytes_of = {i: raw(t) for t, i in spec["model"]["vocab"].items() if t not in special}
-        self.id_of = {t: i for i, t in self.bytes_of.items()}
+        super().__init__(path)
         self.rank: dict[int, int] = dict.fromkeys(self.bytes_of, -1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        for r, pair in enumerate(spec["model"]["merges"]):
-            a, b = (self.id_of[raw(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
+        for r, pair in enumerate(self.spec["model"]["merges"]):
+            a, b = (self.id_of[self.raw(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             whole = self.id_of[self.bytes_of[a] + self.bytes_of[b]]
             self.merge[a, b] = r
             if whole not in self.parts:
                 self.parts[whole], self.rank[whole] = (a, b), r
-        self.special = special
-        self.bytes_of |= {i: t.encode() for t, i in special.items()}
-        self.split_special = regex.compile("|".join(regex.escape(t) for t in sorted(special, key=len, reverse=True))) if special else None
-        self.split = regex.compile(PATTERN)
-        self.length = {i: len(t) for i, t in self.bytes_of.items()}
-        self.beginnings = {t[:k] for t in self.id_of for k in range(len(t) + 1)}
-        self.states: list[bytes] = [b""]
-        self.state_of: dict[bytes, int] = {b"": 0}
-        self.step: dict[int, int] = {}
-        self.longest: list[int | None] = [None]
-        self.shorter: dict[int, int] = {}
+        self.all_bytes = self.bytes_of | {i: t.encode() for t, i in self.special.items()}
+        self.split_special = regex.compile("|".join(regex.escape(t) for t in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.fits: dict[int, bool] = {}
-        self.pieces: dict[str, str] = _Pieces(self)
-        self.undone: dict[str, bytes] = _Undone(self)
-
-    def _suffix_token(self, s: bytes) -> int:
-        """The longest suffix of s that is a token."""
-        for k in range(len(s)):
-            if (t := self.id_of.get(s[k:])) is not None:
-                return t
-        raise ValueError(f"the vocabulary has no token for byte {s[-1:]!r}")
-
-    def _advance(self, state: int, byte: int) -> int:
-        s = self.states[state] + bytes([byte])
-        while s not in self.beginnings:
-            s = s[1:]
-        to = self.state_of.get(s)
-        if to is None:
-            to = self.state_of[s] = len(self.states)
-            self.states.append(s)
-            self.longest.append(self._suffix_token(s))
-        self.step[state << 8 | byte] = to
-        return to
+        self.pieces, self.first, self.spaced = Store(CACHE), Store(CACHE), Store(CACHE)
+        most = max(self.all_bytes) + 1
+        self.token_length = np.array([len(self.all_bytes.get(i, b"")) for i in range(most)], np.int64)
+        self.token_start = np.cumsum(self.token_length) - self.token_length
+        self.token_bytes = np.frombuffer(b"".join(self.all_bytes.get(i, b"") for i in range(most)), np.uint8)
+        self.is_token = np.array([i in self.all_bytes for i in range(most)])
 
     def _tolerates(self, left: int, right: int) -> bool:
         """Whether both stay as they are when one follows the other."""
@@ -117,80 +76,108 @@ class Coder:
             else:
                 return True
 
-    def encode_piece(self, piece: bytes) -> list[int]:
-        state, last = 0, []
-        for i, byte in enumerate(piece, 1):
-            to = self.step.get(state << 8 | byte)
-            state = self._advance(state, byte) if to is None else to
-            t = self.longest[state]
-            while (n := self.length[t]) < i:
-                pair = last[i - n - 1] << 32 | t
-                ok = self.fits.get(pair)
-                if ok is None:
-                    if len(self.fits) > CACHE:
-                        self.fits.clear()
-                    ok = self.fits[pair] = self._tolerates(last[i - n - 1], t)
-                if ok:
-                    break
-                if t not in self.shorter:
-                    self.shorter[t] = self._suffix_token(self.bytes_of[t][1:])
-                t = self.shorter[t]
-            last.append(t)
-        out, i = [], len(piece)
-        while i:
-            out.append(last[i - 1])
-            i -= self.length[last[i - 1]]
-        return out[::-1]
-
-    def written(self, text: str) -> list[str]:
-        """For each pre-token or special token its decimal ids, joined by commas."""
-        if self.split_special is None or not self.split_special.search(text):
-            return list(map(self.pieces.__getitem__, self.split.findall(text)))
-        out, at = [], 0
-        for m in self.split_special.finditer(text):
-            out += map(self.pieces.__getitem__, self.split.findall(text[at : m.start()]))
-            out.append(str(self.special[m[0]]))
-            at = m.end()
-        return out + list(map(self.pieces.__getitem__, self.split.findall(text[at:])))
+    def encode_pieces(self, pieces: Iterable[bytes]) -> Iterator[tuple[bytes, list[int]]]:
+        """(piece, ids) of distinct pre-tokens, in sorted order, so that what two in a row begin with is done once."""
+        states, last, before = [0], [], b""
+        step, length, fits = self.step, self.length, self.fits
+        for piece in sorted(pieces):
+            shared = common(piece, before)
+            del states[shared + 1 :], last[shared:]
+            state = states[-1]
+            for i in range(shared + 1, len(piece) + 1):
+                key = state << 8 | piece[i - 1]
+                to = step.get(key)
+                state = self.advance(state, piece[i - 1]) if to is None else to
+                states.append(state)
+                t = self.longest[state]
+                while (n := length[t]) < i:
+                    left = last[i - n - 1]
+                    ok = fits.get(left << 32 | t)
+                    if ok is None:
+                        if len(fits) > CACHE:
+                            fits.clear()
+                        ok = fits[left << 32 | t] = self._tolerates(left, t)
+                    if ok:
+                        break
+                    t = self.shorter(t)
+                last.append(t)
+            before, out, i = piece, [], len(piece)
+            while i:
+                out.append(last[i - 1])
+                i -= length[last[i - 1]]
+            yield piece, out[::-1]
+
+    def _learn(self, store: Store, wanted: list[list[str]], lead: str) -> None:
+        """Fill a store with the decimal ids, joined by commas, of distinct stretches."""
+        new = store.lacking(wanted)
+        cut = {x: SPLIT.findall(lead + x) for x in new}
+        for piece, ids in self.encode_pieces(p.encode() for p in self.pieces.lacking(cut.values())):
+            self.pieces[piece.decode()] = ",".join(map(str, ids))
+        found = self.pieces.__getitem__
+        store.update((x, ",".join(map(found, own))) for x, own in cut.items())
+
+    def written(self, texts: list[str]) -> list[str]:
+        """The decimal ids of each text, joined by commas."""
+        cut = []
+        for text in texts:
+            parts, at = [], 0
+            for m in self.split_special.finditer(text) if self.split_special else ():
+                parts += [stretches(text[at : m.start()]), str(self.special[m[0]])]
+                at = m.end()
+            cut.append([*parts, stretches(text[at:])])
+        plain = [p for parts in cut for p in parts if not isinstance(p, str)]
+        self._learn(self.first, [p[0] for p in plain], "")
+        self._learn(self.spaced, [p[1] for p in plain], " ")
+        first, spaced = self.first.__getitem__, self.spaced.__getitem__
+        out = []
+        for parts in cut:
+            ids = []
+            for p in parts:
+                if isinstance(p, str):
+                    ids.append(p)
+                else:
+                    ids += map(first, p[0])
+                    ids += map(spaced, p[1])
+            out.append(",".join(ids))
+        return out
+
+    def batches(self, texts: Iterable[str | None]) -> Iterator[str]:
+        """`written` for any number of texts, some at a time."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text or "")
+            size += len(some[-1])
+            if size >= BATCH:
+                yield from self.written(some)
+                some, size = [], 0
+        yield from self.written(some)
 
     def forget(self) -> None:
         """Empty the stores that grow with the texts."""
-        for store in (self.pieces, self.undone, self.fits):
+        for store in (self.pieces, self.first, self.spaced, self.fits):
             store.clear()
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for x in self.written(text) for i in x.split(",")]
+        return parsed(self.written([text])[0]).tolist()
+
+    def undone(self, ids: np.ndarray) -> bytes:
+        """The bytes of a text, from its ids alone."""
+        if len(ids) and (ids.min() < 0 or ids.max() >= len(self.is_token) or not self.is_token[ids].all()):
+            raise ValueError("an id is not in the vocabulary")
+        out = []
+        for a in range(0, len(ids), BATCH):
+            own = ids[a : a + BATCH]
+            size = self.token_length[own]
+            at = np.repeat(self.token_start[own] - np.cumsum(size) + size, size)
+            out.append(self.token_bytes[at + np.arange(len(at))].tobytes())
+        return b"".join(out)
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
-
+        return self.undone(np.array(ids, np.int64)).decode("utf-8", "replace")
 
-class _Pieces(dict):
-    def __init__(self, coder: Coder):
-        self.coder = coder
 
-    def __missing__(self, piece: str) -> str:
-        if len(self) >= CACHE:
-            self.clear()
-        out = ",".join(map(str, self.coder.encode_piece(piece.encode())))
-        if len(piece) < 100:
-            self[piece] = out
-        return out
-
-
-class _Undone(dict):
-    """Bytes of a piece's ids, from the ids alone."""
-
-    def __init__(self, coder: Coder):
-        self.coder = coder
-
-    def __missing__(self, ids: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        out = b"".join(self.coder.bytes_of[int(i)] for i in ids.split(","))
-        if len(ids) < 500:
-            self[ids] = out
-        return out
+def parsed(ids: str) -> np.ndarray:
+    return np.fromstring(ids, np.int32, sep=",") if ids else np.zeros(0, np.int32)
 
 
 @lru_cache(maxsize=2)
@@ -203,6 +190,11 @@ def _rest(batch: pa.RecordBatch, column: str) -> tuple[list, list[str]]:
     return [batch.column(c) for c in names], names
 
 
+def _digest(c: Coder, ids: np.ndarray) -> str:
+    """Of the decoded text in UTF-8."""
+    return hashlib.sha256(c.undone(ids).decode("utf-8", "replace").encode()).hexdigest()
+
+
 def encode(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """(doc_id, ids array<int>) of every whole text."""
     at = path or default_path()
@@ -211,7 +203,7 @@ def encode(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         c = coder(at)
         for batch in batches:
             rest, names = _rest(batch, "text")
-            yield pa.RecordBatch.from_arrays([*rest, pa.array((c.encode(x.as_py() or "") for x in batch.column("text")), pa.list_(pa.int32()))], [*names, "ids"])
+            yield pa.RecordBatch.from_arrays([*rest, pa.array(map(parsed, c.batches(batch.column("text").to_pylist())), pa.list_(pa.int32()))], [*names, "ids"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
     return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
@@ -240,12 +232,11 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         for batch in batches:
             rest, names = _rest(batch, "text")
             n, ids, back = [], [], []
-            for x in batch.column("text"):
-                out = c.written(x.as_py() or "")
-                joined = ",".join(out)
-                n.append(joined.count(",") + 1 if joined else 0)
+            for joined in c.batches(x.as_py() for x in batch.column("text")):
+                own = parsed(joined)
+                n.append(len(own))
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                back.append(hashlib.sha256(b"".join(map(c.undone.__getitem__, out)).decode("utf-8", "replace").encode()).hexdigest())
+                back.append(_digest(c, own))
             yield pa.RecordBatch.from_arrays([*rest, pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(back, pa.string())], [*names, "n_tokens", "ids_sha256", "decoded_sha256"])
         c.forget()
 
@@ -254,7 +245,7 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
-    """The rows without their text, but with ids array<int>, n_tokens and decoded_sha256."""
+    """The rows without their text, but with ids array<int>, n_tokens and decoded_sha256, which replace columns of these names."""
     at = path or default_path()
     kept = [c for c in documents.columns if c not in (text, "ids", "n_tokens", "decoded_sha256")]
 
@@ -264,11 +255,10 @@ def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None
             for a, b, _, _ in chunks(whole.column("_text")):
                 batch = whole.slice(a, b - a)
                 first, ids, back = [0], [], []
-                for x in batch.column("_text"):
-                    out = c.written(x.as_py() or "")
-                    ids.append(np.fromstring(",".join(out), np.int32, sep=",") if out else np.zeros(0, np.int32))
+                for joined in c.written([x.as_py() or "" for x in batch.column("_text")]):
+                    ids.append(parsed(joined))
                     first.append(first[-1] + len(ids[-1]))
-                    back.append(hashlib.sha256(b"".join(map(c.undone.__getitem__, out)).decode("utf-8", "replace").encode()).hexdigest())
+                    back.append(_digest(c, ids[-1]))
                 lists = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(np.concatenate(ids), pa.int32()))
                 yield pa.RecordBatch.from_arrays([batch.column("_row"), lists, pa.array(np.diff(first), pa.int64()), pa.array(back, pa.string())], ["_row", "ids", "n_tokens", "decoded_sha256"])
         c.forget()

@@ -13,7 +13,7 @@ from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from resonant.llm import bpe, components, decontaminate, html_text, jaccard, lm, packed, quality, queries, secrets, token_counts, toxicity, url_filter, words as W
+from resonant.llm import bpe, components, decontaminate, html_text, jaccard, lm, packed, quality, queries, secrets, token_counts, toxicity, url_filter, vocabulary, words as W
 
 SF = "/root/testdata/sf0.001"
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
@@ -129,20 +129,41 @@ def test_decontaminate(spark, documents, rows, block_bytes):
     assert kept.columns == documents.columns and kept.count() == sum(not x[2] for x in want)
 
 
-def test_token_counts(spark, documents, rows):
-    m = token_counts.Unigram(bpe.default_path())
+def _segmented(piece, score, longest):
+    """The best segmentation of a pre-token by trying every cut."""
+    p, best = piece.encode(), [(0.0, 0, [])]
+    for j in range(1, len(p) + 1):
+        best.append(max(((best[i][0] + score[p[i:j]], best[i][1] - 1, [*best[i][2], p[i:j]]) for i in range(max(0, j - longest), j) if p[i:j] in score), key=lambda x: x[:2]))
+    return best[-1][2]
 
-    def tokens(piece):
-        p, best = piece.encode(), [(0.0, 0)]
-        for j in range(1, len(p) + 1):
-            best.append(max((best[i][0] + m.score[p[i:j]], best[i][1] - 1) for i in range(max(0, j - m.longest), j) if p[i:j] in m.score))
-        return -best[-1][1]
 
-    want = [(i, sum(tokens(p) for p in m.split.findall(t or ""))) for i, t in rows if len(t or "") < 3000]
-    compare(token_counts.count(documents.where("text is null or length(text) < 3000"), chunk_chars=2000), want, ["n_tokens"])
+def test_token_counts(spark, documents, rows):
+    v = vocabulary.Vocabulary(vocabulary.default_path())
+    size, longest = len(v.bytes_of), max(v.length.values())
+    score = {t: -math.log(i + 2) if len(t) > 1 else -math.log(size + 2) for i, t in v.bytes_of.items()}
+    pieces = Counter(p for _, t in rows for p in vocabulary.SPLIT.findall(t or ""))
+    used = Counter()
+    for p, n in pieces.items():
+        for t in Counter(_segmented(p, score, longest)).items():
+            used[t[0]] += n * t[1]
+    score = {t: math.log((used[t] + 1) / (used.total() + size)) for t in score}
+    fitted = token_counts.fit(documents, chunk_chars=2000)
+    assert max(abs(fitted[i] - score[t]) for i, t in v.bytes_of.items()) < 1e-9
+    score = {t: float(fitted[i]) for i, t in v.bytes_of.items()}
+    known = {p: len(_segmented(p, score, longest)) for p in pieces}
+    cut = [(i, vocabulary.SPLIT.findall(t or "")) for i, t in rows]
+    compare(token_counts.count(documents, chunk_chars=2000), [(i, sum(map(known.get, c)), len(c)) for i, c in cut], ["n_tokens", "n_pretokens"])
     assert token_counts.count(documents.limit(0)).count() == 0
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab \n\t '1²٣éß漢\u0301\x1c\x1e\u0085\u00a0\u2003stdl", max_size=20))
+def test_stretches(text):
+    first, spaced = vocabulary.stretches(text)
+    cut = [p for x in first for p in vocabulary.SPLIT.findall(x)] + [p for x in spaced for p in vocabulary.SPLIT.findall(" " + x)]
+    assert cut == vocabulary.SPLIT.findall(text)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="page with-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href="/">Home</a></li></ul></nav><div class="cookie-notice">We use cookies on this site</div>
 <article><h1>A  title &amp; more</h1><p>First <b>bold</b> &eacute;&#33; <a href=x>link</a> text<br>next line.</p><p>One.</p><p><b>Unclosed.<br><p>Second &nbsp; block</p>
@@ -223,7 +244,7 @@ def test_ledger_is_incremental(spark):
 def test_bpe(spark, documents, rows):
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(bpe.default_path())
+    t = Tokenizer.from_file(vocabulary.default_path())
     want = []
     for i, x in rows:
         ids = t.encode(x or "", add_special_tokens=False).ids
@@ -241,10 +262,10 @@ def test_bpe_texts(text):
 
     global TOKENIZER
     if "TOKENIZER" not in globals():
-        TOKENIZER = Tokenizer.from_file(bpe.default_path())
+        TOKENIZER = Tokenizer.from_file(vocabulary.default_path())
     ids = TOKENIZER.encode(text, add_special_tokens=False).ids
-    assert bpe.coder(bpe.default_path()).encode(text) == ids
-    assert bpe.coder(bpe.default_path()).decode(ids) == TOKENIZER.decode(ids, skip_special_tokens=False)
+    assert bpe.coder(vocabulary.default_path()).encode(text) == ids
+    assert bpe.coder(vocabulary.default_path()).decode(ids) == TOKENIZER.decode(ids, skip_special_tokens=False)
 
 
 URLS = [None, "", "abc", "http://A.COM?x/en/", "x://com/en/", "x://xcom/en/1", "HTTP://É.Example.NET/de/8#?", "http://example.com/en/7", "https://a.example.com/en/77?q", "http://a.net/de/", "http://q.org/es/#x", "http://org/es", "http://com:80/en/", "a://b://c/d", "http://" + "x" * 5000 + ".com/en/" + "1" * 3000]
