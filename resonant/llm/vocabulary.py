@@ -108,10 +108,11 @@ class Store(dict):
         self.most = most
 
     def lacking(self, wanted: Iterable[Iterable[str]]) -> set[str]:
-        """The wanted strings that are not there yet; makes room for them first if there is none."""
+        """The wanted strings that are not there yet; if there is no room, only wanted ones stay."""
         every = set().union(*wanted)
         new = every - self.keys()
         if self and len(self) + len(new) > self.most:
+            kept = {x: self[x] for x in every - new}
             self.clear()
-            return every
+            self.update(kept)
         return new
