@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .packed import find, large, pack, put, small, summed, unpack, view
+from .packed import find, large, narrow, pack, put, small, summed, unpack, view
 from .spark_io import shared_dir
 from .toxicity import fold
 
@@ -228,7 +228,7 @@ def _store_pairs(m: Model):
         r = t.column("r")[0].as_py()
         keys, counts = _merged(t)
         put(m.folder, f"pairs-{r}.npy", keys)
-        put(m.folder, f"counts-{r}.npy", counts.astype(np.uint32))
+        put(m.folder, f"counts-{r}.npy", narrow(counts))
         plain = Mixer(m.bits).undo(keys)
         half = U(m.bits // 2)
         before, token = (plain >> half).astype(np.int64), (plain & U((1 << (m.bits // 2)) - 1)).astype(np.int64)

@@ -28,11 +28,16 @@ def unpack(raw: bytes) -> np.ndarray:
     return np.cumsum(out, dtype=np.uint64)
 
 
-def small(values: np.ndarray) -> bytes:
+def narrow(values: np.ndarray) -> np.ndarray:
     """Unsigned counts in the smallest width that holds them."""
     most = int(values.max()) if len(values) else 0
-    width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
-    return bytes([width]) + values.astype(f"<u{width}").tobytes()
+    return values.astype(f"<u{1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8}")
+
+
+def small(values: np.ndarray) -> bytes:
+    """The same as bytes, the width first."""
+    out = narrow(values)
+    return bytes([out.itemsize]) + out.tobytes()
 
 
 def large(raw: bytes) -> np.ndarray:
