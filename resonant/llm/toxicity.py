@@ -6,13 +6,16 @@ logistic regression is fitted on the scaled features. Scores are computed for wh
 product of scale and weight, one table of 2**BITS numbers.
 
 The classifier is fitted on a bounded sample: at most `per_class` labelled rows of each class, the
-first in hash order of their id. It is the only thing that is sampled, and its size bounds what
-reaches the driver and what is broadcast.
+first in hash order of their id, with one text each (the least, if rows share an id). It is the only thing
+that is sampled. It is written to the shared folder; what reaches the driver from it is the number of texts
+with each feature, by class and fold, and then for each sampled row the counts of only those features whose
+ratio stands out, so that neither repeated rows nor long texts weigh on the driver. Counts aren't capped.
 
 Defined results. Null or wordless texts have no features and get the model's intercept as score.
 Labels with a null id or null label are ignored, a repeated label counts as the highest; with no
 labels at all of one class every score is the prior. Repeated rows each get their row; extra
-columns are ignored. A null id counts as an empty text in the fold.
+columns are ignored. A null id counts as an empty text in the fold. Empty tables give empty results.
+Texts of any length are scored whole. Ties in the hash order go to the smaller id.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from . import words as W
+from .spark_io import written
 
 BITS = 18
 ORDERS = (3, 4, 5)
@@ -70,47 +74,92 @@ def grams(data: np.ndarray, off: np.ndarray) -> Iterator[tuple[np.ndarray, np.nd
         yield doc[owner[p]], (W.mix(h[p]) >> W.U(64 - BITS)).astype(np.int64)
 
 
-def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, distinct features, counts) of every text of a batch."""
+    for a, b, data, off in W.chunks(batch.column("text")):
+        doc, feature = (np.concatenate(v) for v in zip(*grams(data, off))) if len(data) and W.NOT_SPACE[data].any() else (np.zeros(0, np.int64),) * 2
+        order = np.argsort(doc, kind="stable")
+        for i, f in enumerate(np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a)))):
+            yield a + i, *np.unique(f, return_counts=True)
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many of a task's texts of each fold and class hold each feature."""
+    seen: dict[tuple[int, int], np.ndarray] = {}
     for batch in batches:
-        out: list[bytes] = []
-        for a, b, data, off in W.chunks(batch.column("text")):
-            doc, feature = (np.concatenate(v) for v in zip(*grams(data, off))) if len(data) and W.NOT_SPACE[data].any() else (np.zeros(0, np.int64),) * 2
-            order = np.argsort(doc, kind="stable")
-            for f in np.split(feature[order], np.searchsorted(doc[order], np.arange(1, b - a))):
-                own, n = np.unique(f, return_counts=True)
-                out.append(own.astype("<i4").tobytes() + np.minimum(n, 255).astype(np.uint8).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(out, pa.binary())], ["y", "f"])
+        fold_of, y = batch.column("fold").to_pylist(), batch.column("y").to_pylist()
+        for i, f, _ in _counted(batch):
+            seen.setdefault((fold_of[i], y[i]), np.zeros(1 << BITS, np.int32))[f] += 1
+    for (k, y), n in seen.items():
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([y], pa.int32()), pa.array([at.astype("<i4").tobytes()], pa.binary()), pa.array([n[at].astype("<i4").tobytes()], pa.binary())], ["fold", "y", "f", "n"])
 
 
-def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
-    """The table of weights (scale times coefficient) and the intercept; documents: doc_id, text; labels: doc_id, y."""
-    known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y"))
-    known = known.withColumn("o", F.xxhash64("doc_id"))
+def _features(kept: np.ndarray):
+    """The counts of the kept features in every text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[bytes, bytes]] = [(b"", b"")] * batch.num_rows
+            for i, f, n in _counted(batch):
+                own = kept[f]
+                out[i] = f[own].astype("<i4").tobytes(), n[own].astype("<i4").tobytes()
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("fold"), batch.column("y"), *(pa.array(c, pa.binary()) for c in zip(*out))] if out else [batch.column("doc_id"), batch.column("fold"), batch.column("y"), *[pa.array([], pa.binary())] * 2], ["doc_id", "fold", "y", "f", "n"])
+
+    return run
+
+
+def ratios(has: np.ndarray, sure: float) -> np.ndarray:
+    """Log-count ratios of the features, 0 for those that don't stand out; has: texts with each feature, by class."""
+    p, q = has[1] + 1.0, has[0] + 1.0
+    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
+    # only ratios that stand out from chance: long texts hold thousands of rare n-grams
+    ratio[(has.sum(0) < MIN_DOCS) | (np.abs(ratio) < sure * np.sqrt(1 / p + 1 / q))] = 0
+    return ratio
+
+
+def sampled(documents: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
+    """(doc_id, y, fold, text): at most `per_class` labelled ids of each class, one text each."""
+    known = labels.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").alias("y")).withColumn("o", F.xxhash64("doc_id"))
     sample = None
     for y in (0, 1):
         own = known.where(F.col("y") == y).orderBy("o", "doc_id").limit(per_class)
         sample = own if sample is None else sample.unionByName(own)
-    rows = documents.join(F.broadcast(sample.select("doc_id", "y")), "doc_id").select("y", "text").mapInArrow(_features, "y int, f binary").collect()
-    cut = [len(r["f"]) // 5 for r in rows]
-    f = [(np.frombuffer(r["f"], "<i4", n), np.frombuffer(r["f"], np.uint8, n, 4 * n)) for r, n in zip(rows, cut)]
-    y = np.array([r["y"] for r in rows], np.float64)
+    rows = documents.join(F.broadcast(sample.select("doc_id", "y")), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return written(rows.select("doc_id", "y", F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS)).cast("int").alias("fold"), "text"), "sample")
+
+
+def fit(documents: DataFrame, labels: DataFrame, *, per_class: int = 1500, steps: int = 300, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
+    """The table of weights (scale times coefficient) and the intercept; documents: doc_id, text; labels: doc_id, y."""
+    sample = sampled(documents, labels, per_class)
+    has = np.zeros((FOLDS, 2, 1 << BITS), np.int64)
+    held = sample.select("fold", "y", "text").mapInArrow(_holders, "fold int, y int, f binary, n binary").collect()
+    for r in held:
+        has[r["fold"], r["y"], np.frombuffer(r["f"], "<i4")] += np.frombuffer(r["n"], "<i4")
+    # what any of the fits below can use
+    trained = [has.sum(0), *(has.sum(0) - has[k] for k in range(FOLDS))]
+    kept = np.any([ratios(h, min(SURE)) != 0 for h in trained], axis=0)
+    kind = sample.schema["doc_id"].dataType.simpleString()
+    rows = sample.select("doc_id", "fold", "y", "text").mapInArrow(_features(kept), f"doc_id {kind}, fold int, y int, f binary, n binary").collect()
+    rows.sort(key=lambda r: (r["y"], r["doc_id"]))  # their order must not matter
+    f = [(np.frombuffer(r["f"], "<i4"), np.frombuffer(r["n"], "<i4")) for r in rows]
+    y, fold_of = np.array([r["y"] for r in rows], np.float64), np.array([r["fold"] for r in rows])
     if not len(y) or y.min() == y.max():
         p = (y.sum() + 0.5) / (len(y) + 1)
         return np.zeros(1 << BITS), float(np.log(p / (1 - p)))
-    order = sorted(range(len(f)), key=lambda i: (y[i], bytes(rows[i]["f"])))  # the rows' order must not matter
-    f, y = [f[i] for i in order], y[order]
     del rows
-    fold_of = np.arange(len(f)) % FOLDS
     losses = []
     for sure in SURE:
         loss = 0.0
         for k in range(FOLDS):
             own, other = np.flatnonzero(fold_of != k), np.flatnonzero(fold_of == k)
-            table, b = _fitted([f[i] for i in own], y[own], sure, steps // 2, ridge)
+            if not len(own) or not len(other):
+                continue
+            table, b = _fitted([f[i] for i in own], y[own], ratios(trained[1 + k], sure), steps // 2, ridge)
             z = np.array([table[f[i][0]] @ f[i][1] for i in other]) + b
             loss += float((_balance(y)[other] * np.logaddexp(0, np.where(y[other] == 1, -z, z))).sum())
         losses.append(loss)
-    return _fitted(f, y, SURE[int(np.argmin(losses))], steps, ridge)
+    return _fitted(f, y, ratios(trained[0], SURE[int(np.argmin(losses))]), steps, ridge)
 
 
 def _balance(y: np.ndarray) -> np.ndarray:
@@ -119,15 +168,8 @@ def _balance(y: np.ndarray) -> np.ndarray:
     return np.where(y == 1, 0.5 / p, 0.5 / (1 - p))
 
 
-def _fitted(f: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, sure: float, steps: int, ridge: float) -> tuple[np.ndarray, float]:
-    """Logistic regression on counts scaled by log-count ratios that are `sure` standard errors from zero."""
-    has = np.zeros((2, 1 << BITS))
-    for (x, _), c in zip(f, y):
-        has[int(c), x] += 1
-    p, q = has[1] + 1, has[0] + 1
-    ratio = np.log(p / p.sum()) - np.log(q / q.sum())
-    # only ratios that stand out from chance: long texts hold thousands of rare n-grams
-    ratio[(has.sum(0) < MIN_DOCS) | (np.abs(ratio) < sure * np.sqrt(1 / p + 1 / q))] = 0
+def _fitted(f: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, ratio: np.ndarray, steps: int, ridge: float) -> tuple[np.ndarray, float]:
+    """Logistic regression on counts scaled by log-count ratios."""
     f = [(x[ratio[x] != 0], n[ratio[x] != 0]) for x, n in f]
     first = np.concatenate([[0], np.cumsum([len(x) for x, _ in f])])
     flat = np.concatenate([x for x, _ in f])
