@@ -5,16 +5,18 @@ points of a history is one blob. The ledger holds a row for every (blob, rule ve
 scanned; only pairs that it lacks are scanned, once each, and the findings are joined back to all
 paths that hold the blob. Scanning again with the returned ledger scans nothing.
 
-Rules: assign, access and hex, then three more kinds (pem, jwt, github) that only add spans. A
-cheap byte test on the whole chunk picks the texts that can hold a finding at all; only these are
-decoded and matched.
+Rules: assign, access and hex, then three more kinds (pem, jwt, github) that only add spans. While texts
+are addressed, a cheap byte test on the whole chunk picks those that can hold a finding at all; only these
+are sent to their blob's ledger entry and, once for each unseen pair, matched. All others go as a digest.
 
 Defined results. Null text: an empty text, no findings. Repeated rows and copies: each row gets the
-findings of its blob. Extra columns are ignored. Empty tables give empty results.
+findings of its blob. Extra columns are ignored. Empty tables give empty results. Texts of any length are
+scanned whole. Spans with the same start are in the order of KINDS.
 """
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 
@@ -23,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from . import words as W
+from .spark_io import written
 
 #: Rows of version 2 may lack findings, as its pre-test passed over some texts between others.
 RULE_VERSION = "2.1"
@@ -64,23 +67,21 @@ def _suspects(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     return np.setdiff1d(first, longest)
 
 
-def _scan(column: str):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: list[list] = [[] for _ in range(batch.num_rows)]
-            for a, _, data, off in W.chunks(batch.column(column)):
-                for i in _suspects(data, off):
-                    text = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
-                    found[a + i] = [{"start": s, "kind": k, "end": e} for s, k, e in find(text)]
-            names = [c for c in batch.schema.names if c != column]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(found, _ARROW)], [*names, "findings"])
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = [[{"start": s, "kind": k, "end": e} for s, k, e in find(x.as_py() or "")] for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array(found, _ARROW)], ["blob", "findings"])
 
-    return run
 
-
-def scan_blobs(blobs: DataFrame) -> DataFrame:
-    """(blob, findings) from (blob, text)."""
-    return blobs.select("blob", "text").mapInArrow(_scan("text"), T.StructType([T.StructField("blob", T.StringType()), T.StructField("findings", FINDINGS)]))
+def _sift(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Content address of every text, and the text itself only where it may hold a finding."""
+    for batch in batches:
+        blob, text = [], [None] * batch.num_rows
+        for a, _, data, off in W.chunks(batch.column("text")):
+            blob += [hashlib.sha256(data[s:e]).hexdigest() for s, e in zip(off[:-1].tolist(), off[1:].tolist())]
+            for i in _suspects(data, off):
+                text[a + i] = data[off[i] : off[i + 1]].tobytes().decode("utf-8", "replace")
+        yield pa.RecordBatch.from_arrays([pa.array(blob, pa.string()), pa.array(text, pa.string())], ["blob", "text"])
 
 
 def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
@@ -89,17 +90,23 @@ def addressed(versions: DataFrame, text: str = "text") -> DataFrame:
 
 
 def update_ledger(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rule_version: str = RULE_VERSION) -> DataFrame:
-    """Ledger rows (blob, rule_version, findings) for what the given ledger has not seen."""
-    blobs = addressed(versions.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")))
+    """Ledger rows (blob, rule_version, findings) for what the given ledger has not seen.
+
+    What meets by blob are digests, and texts only of blobs that may hold a finding.
+    """
+    blobs = versions.select(F.col(text).cast("string").alias("text")).mapInArrow(_sift, "blob string, text string").groupBy("blob").agg(F.max("text").alias("text"))
     if ledger is not None:
         blobs = blobs.join(ledger.where(F.col("rule_version") == rule_version).select("blob"), "blob", "left_anti")
-    blobs = blobs.groupBy("blob").agg(F.first("text").alias("text"))
-    return scan_blobs(blobs).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
+    schema = T.StructType([T.StructField("blob", T.StringType()), T.StructField("findings", FINDINGS)])
+    return blobs.mapInArrow(_scan, schema).select("blob", F.lit(rule_version).alias("rule_version"), "findings")
 
 
 def scan(versions: DataFrame, ledger: DataFrame | None = None, *, text: str = "text", rule_version: str = RULE_VERSION) -> tuple[DataFrame, DataFrame]:
-    """Every row of versions with the findings of its blob (column `findings`), and the ledger with the new rows."""
-    new = update_ledger(versions, ledger, text=text, rule_version=rule_version)
+    """Every row of versions with the findings of its blob (column `findings`), and the ledger with the new rows.
+
+    The new rows are written to the shared folder once, and both results read them from there.
+    """
+    new = written(update_ledger(versions, ledger, text=text, rule_version=rule_version), "ledger")
     whole = new if ledger is None else ledger.select("blob", "rule_version", "findings").unionByName(new)
     found = whole.where((F.col("rule_version") == rule_version) & (F.size("findings") > 0)).select(F.col("blob").alias("_blob"), F.col("findings").alias("_findings"))
     rows = versions.select(F.struct(*versions.columns).alias("_row"), F.col(text).cast("string").alias("_text"))
