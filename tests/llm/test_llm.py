@@ -1,6 +1,8 @@
 """The corpus operators against brute force, on the generated tables and on odd texts."""
 
 import hashlib
+import html
+import html.parser
 import math
 import re
 import string
@@ -182,16 +184,71 @@ def test_html(spark):
     got = html_text.report(pages).collect()
     assert [len(r.text) == r.n_chars for r in got] == [True] * 3 and sorted(r.n_chars > 0 for r in got) == [False, True, True]
     assert html_text.report(pages.limit(0)).count() == 0
-    assert all(html_text.classify(html_text.default_tree(), b[:-1]) == b[-1] for b in html_text.BLOCKS)
+    assert all(html_text.classify(html_text.default_tree(), b[:-1]) == b[-1] for b in html_text.labelled_rows())
 
 
-def test_html_pages(spark):
-    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
-        inner = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
-        text = re.sub(r"<[^>]*(?:>|\Z)", " ", inner)
-        import html
+SENTENCES = "This is the first sentence of the text. Here is a second one, a little longer. And a third one ends it."
+
+
+@pytest.mark.parametrize("around", ['<main class="with-sidebar">%s</main>', '<main id="content" class="no-sidebar">%s</main>', '<div class="article-body no-comments">%s</div>', '<article class="post has-comments">%s</article>', '<body class="page sidebar-right"><article>%s'])
+def test_html_names_that_only_describe(around):
+    cards = "".join(f'<a href="/{i}"><div>Card {i}<p>A teaser text of a few words</p></div></a>' for i in range(3))
+    comments = '<section id="comments"><p>I do not agree with any of this at all</p></section>'
+    assert html_text.extract(around % f"<p>{SENTENCES}</p>") == SENTENCES
+    assert html_text.extract(cards + around % f"<p>{SENTENCES}</p>{cards}{comments}" + cards) == SENTENCES
+
+
+def test_html_held_out_pages():
+    pages = html_text.labelled_pages()
+    wrong = n = 0
+    for k in range(5):
+        tree = html_text.grow(html_text.labelled_rows(p for i, p in enumerate(pages) if i % 5 != k))
+        for row in html_text.labelled_rows(p for i, p in enumerate(pages) if i % 5 == k):
+            n, wrong = n + 1, wrong + (html_text.classify(tree, row[:-1]) != row[-1])
+    assert wrong <= 0.02 * n
+
+
+def test_html_long_page():
+    page = "<nav><a href=1>Home</a></nav><article>" + "<p>word &lt;here</p>" * 50_000 + "</article>"
+    assert html_text.extract(page) == "\n\n".join(["word <here"] * 50_000)
+
+
+class _Article(html.parser.HTMLParser):
+    """The blocks inside <article>, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag == "br":
+            self.blocks[-1] += " "
+        elif tag not in html_text.INLINE:
+            self.blocks.append("")
 
-        assert html_text.extract(r.html).split() == html.unescape(text).split()
+    def handle_endtag(self, tag):
+        if tag == "article":
+            self.inside = False
+        if tag not in html_text.INLINE:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_pages(spark):
+    pages = spark.read.parquet(f"{SF}/pages.parquet")
+    want = []
+    for r in pages.collect():
+        p = _Article()
+        p.feed(r.html)
+        p.close()
+        text = "\n\n".join(" ".join(x.split()) for x in p.blocks if x.split())
+        want.append((r.page_id, r.url, text, len(text)))
+    got = [(r.page_id, r.url, r.text, r.n_chars) for r in html_text.report(pages).collect()]
+    assert sorted(got) == sorted(want)
 
 
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -416,6 +473,90 @@ def test_toxicity(spark, documents):
     assert toxicity.report(documents.limit(0), few.limit(0)).count() == 0
 
 
+def test_toxicity_by_hand(spark):
+    """Ratios, gradient and scores from the n-grams as strings, one text at a time."""
+    words = ["vile", "rude", "nasty", "calm", "kind", "sunny", "plain", "garden", "éclair"]
+    texts = [(i, " ".join(words[(i * 7 + k * k) % 3 + (0 if i % 2 else 3) + (k % 2) * 3] for k in range(5 + i % 4)) + " x" * (300 if i == 5 else 1)) for i in range(60)]
+    docs = spark.createDataFrame([*texts, (3, texts[3][1]), (70, None), (71, "")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, y int")
+
+    def grams(t):
+        out = Counter()
+        for word in set(SPACED.findall((t or "").translate(LOWER))):
+            w = f" {word} ".encode()
+            out.update((n, w[k : k + n]) for n in toxicity.ORDERS for k in range(len(w) - n + 1))
+        return out
+
+    sample = {r.doc_id: (r.y, r.fold) for r in toxicity.sampled(docs, labels, 1500).collect()}
+    text_of = dict(texts)
+    f = {i: grams(text_of[i]) for i in sorted(sample, key=lambda i: (sample[i][0], i))}
+
+    def fitted(ids, sure, steps):
+        has = [Counter(g for i in ids if sample[i][0] == c for g in f[i]) for c in (0, 1)]
+        # every hashed feature has one added to its count, those that no text holds included
+        size = [sum(h.values()) + (1 << toxicity.BITS) for h in has]
+        ratio = {}
+        for g in has[0].keys() | has[1].keys():
+            p, q = has[1][g] + 1, has[0][g] + 1
+            r = math.log(p / size[1]) - math.log(q / size[0])
+            if has[0][g] + has[1][g] >= toxicity.MIN_DOCS and abs(r) >= sure * math.sqrt(1 / p + 1 / q):
+                ratio[g] = r
+        x = {i: {g: ratio[g] * n for g, n in f[i].items() if g in ratio} for i in ids}
+        n, ones = len(ids), sum(sample[i][0] for i in ids)
+        balance = {i: 0.5 * n / ones if sample[i][0] else 0.5 * n / (n - ones) for i in ids}
+        step = 1 / (0.25 * sum(v * v for i in ids for v in x[i].values()) / n + 0.25 + 1e-3)
+        w, ahead, b, b_ahead, t = Counter(), Counter(), 0.0, 0.0, 1.0
+        for _ in range(steps):
+            grad, grad_b = {g: 1e-3 * ahead[g] for g in ratio}, 0.0
+            for i in ids:
+                z = sum(v * ahead[g] for g, v in x[i].items()) + b_ahead
+                e = balance[i] * (1 / (1 + math.exp(-max(min(z, 40), -40))) - sample[i][0]) / n
+                grad_b += e
+                for g, v in x[i].items():
+                    grad[g] += v * e
+            t2 = (1 + math.sqrt(1 + 4 * t * t)) / 2
+            new, new_b = {g: ahead[g] - step * grad[g] for g in ratio}, b_ahead - step * grad_b
+            ahead = Counter({g: new[g] + (t - 1) / t2 * (new[g] - w[g]) for g in ratio})
+            b_ahead = new_b + (t - 1) / t2 * (new_b - b)
+            w, b, t = Counter(new), new_b, t2
+        return {g: w[g] * ratio[g] for g in ratio}, b
+
+    def log_odds(model, counts):
+        return sum(model[0].get(g, 0.0) * n for g, n in counts.items()) + model[1]
+
+    losses = []
+    for sure in toxicity.SURE:
+        loss = 0.0
+        for k in range(toxicity.FOLDS):
+            model = fitted([i for i in f if sample[i][1] != k], sure, 10)
+            for i in f:
+                if sample[i][1] == k:
+                    z = log_odds(model, f[i]) * (1 if sample[i][0] else -1)
+                    loss += math.log1p(math.exp(-z))  # both classes are as frequent
+        losses.append(loss)
+    model = fitted(list(f), toxicity.SURE[losses.index(min(losses))], 20)
+    table, b = toxicity.fit(docs, labels, steps=20)
+    got = {(r.doc_id, r.score) for r in toxicity.score(docs, table, b).collect()}
+    assert len(got) == 62
+    for i, score in got:
+        assert score == pytest.approx(1 / (1 + math.exp(-log_odds(model, grams(text_of.get(i))))), abs=1e-4)
+    few, _ = toxicity.fit(docs, labels, per_class=7, steps=20)
+    assert np.count_nonzero(few) < np.count_nonzero(table)
+
+
+def test_toxicity_counts_beyond_a_byte():
+    import pyarrow as pa
+
+    text = " ".join(f"aaa{i}" for i in range(1000))
+    (_, f, n), = toxicity._counted(pa.RecordBatch.from_arrays([pa.array([text])], ["text"]))
+    assert n.max() >= 1000 and len(f) == len(n)
+
+
+def test_counts_beyond_32_bits():
+    wide = packed.narrow(np.array([1, 1 << 33]))
+    assert wide.tolist() == [1, 1 << 33] and packed.narrow(np.array([1, 255])).itemsize == 1 and packed.narrow(np.zeros(0, np.int64)).itemsize == 1
+
+
 def test_lm(spark, documents, rows):
     texts = [(i, SPACED.findall((t or "").translate(LOWER)) + ["\x00end"], zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2) for i, t in rows]
     one, two = Counter(), Counter()
