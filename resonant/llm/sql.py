@@ -72,9 +72,9 @@ def _case(tree) -> str:
 
 
 def _op6() -> str:
-    trees, rates = url_filter.train()
-    score = " + ".join(f"0.5 * ({_case(t)})" for t in trees)
-    suffix = "CASE split_part(host, '.', -1) " + " ".join(f"WHEN '{s}' THEN {r!r}" for s, r in rates.items()) + " ELSE 0 END"
+    trees, rates = url_filter.default_model()
+    score = " + ".join(f"{url_filter.RATE} * ({_case(t)})" for t in trees)
+    suffix = "CASE regexp_replace(split_part(host, '.', -1), '^[0-9]+$', '0') " + " ".join(f"WHEN '{s}' THEN {r!r}" for s, r in rates.items()) + " ELSE 0 END"
     rule = "CASE"
     for _, r in sorted(url_filter.RULES, key=lambda x: -len(x[1])):
         host, _, path = r.partition("/")
