@@ -1,4 +1,4 @@
-"""Connected components of an edge table, distributed and restartable."""
+"""Connected components of an edge table, and joins that hot keys can't hold up; distributed and restartable."""
 
 from __future__ import annotations
 
@@ -6,32 +6,56 @@ from pyspark.sql import DataFrame, functions as F
 
 from .spark_io import written
 
-#: Steps between two tables written to the shared folder.
-STEPS = 2
+#: A key is hot if it has a thousandth of all rows or more; there are at most a thousand of these, so they may be broadcast.
+HOT = 1_000
+#: Parts into which the rows of one root are dealt.
+SALT = 16
 
 
-def _step(labels: DataFrame, both: DataFrame) -> DataFrame:
+def is_hot(rows, total):
+    """Whether a key with so many rows of a total is hot."""
+    return (rows * HOT >= total).alias("hot")
+
+
+def attach(rows: DataFrame, values: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """rows joined (inner or left) with values, which have one row for each key and a column `hot`.
+
+    The rows of hot keys stay where they are and get the broadcast value, so they never meet in one task.
+    """
+    few = F.broadcast(values.where("hot").drop("hot"))
+    others = rows.join(F.broadcast(values.where("hot").select(*key)), key, "left_anti").join(values.where("not hot").drop("hot"), key, how)
+    return rows.join(few, key).unionByName(others)
+
+
+def _step(labels: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
     """The smallest label among a node and its neighbours, then that label's own label."""
-    around = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+    near = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
+    seen = edges.where("hot").join(F.broadcast(near.join(F.broadcast(hot), "b")), "b").unionByName(edges.where("not hot").join(near, "b"))
+    around = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
     moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"))
-    own = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
-    return moved.join(own, "root").select("node", F.least("root", "next").alias("root"))
+    # the labels of distinct roots, once for every part of the rows that have the root
+    after = moved.select("root").distinct().join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
+    after = after.select("root", "next", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    salted = moved.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
+    return salted.join(after, ["root", "salt"]).select("node", F.least("root", "next").alias("root"))
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the component's smallest node.
 
     Labels spread to neighbours and jump to their own labels, so the rounds grow with the logarithm
-    of the longest path. Every round is written to the shared folder. Hot nodes are pre-aggregated
-    before the shuffle.
+    of the longest path; more than `rounds` of them, which no path of less than 2 ** 100 nodes needs, is an error. Every
+    round is written to the shared folder. Edges to hot nodes get the node's label by broadcast, and the rows that have
+    one root are dealt to SALT tasks.
     """
     edges = edges.where("a != b")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    degree = both.groupBy(F.col("b")).agg(F.count("*").alias("n"))
+    hot = written(degree.where(is_hot(F.col("n"), F.lit(both.count()))).select("b").coalesce(1), "hot")
+    marked = both.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "b", "left").select("a", "b", F.coalesce("hot", F.lit(False)).alias("hot"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     for _ in range(rounds):
-        moved = labels
-        for _ in range(STEPS):
-            moved = _step(moved, both)
+        moved = _step(labels, marked, hot)
         done = written(moved.join(labels.select("node", F.col("root").alias("old")), "node"), "labels")
         labels = done.select("node", "root")
         if done.where("old != root").isEmpty():

@@ -37,7 +37,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
-from .components import components
+from .components import attach, components, is_hot
 from .packed import large, pack, small, unpack
 from .spark_io import written
 
@@ -47,8 +47,8 @@ KEY_BITS = 48
 GATHER = 1_000_000
 #: Shared keys and sets that a tile may hold.
 TILE_KEYS, TILE_SETS = 2_000_000, 4_000
-#: Most components whose id is broadcast.
-HOT = 1_000
+#: Bytes of input for one range of keys.
+RANGE_BYTES = 8 << 20
 
 
 def least_overlap(n, percent: int = PERCENT):
@@ -255,10 +255,13 @@ def _tile(percent: int):
     return run
 
 
-def _tiled(groups: DataFrame) -> DataFrame:
-    """Rows of (group, cls, n, copies, keys, side), each once for every tile (group, band, kind, x, y) that it is in."""
+def _tiled(groups: DataFrame, most: int) -> DataFrame:
+    """Rows of (group, cls, n, copies, keys, side), each once for every tile (group, band, kind, x, y) that it is in.
+
+    most: a number that groups has no more rows than; no group or band, however large, meets in one task before it is cut.
+    """
     counts = groups.groupBy("group").agg(F.count("*").alias("sets"), F.sum("s").alias("total"))
-    sized = groups.join(counts, "group")
+    sized = attach(groups, counts.select("*", is_hot(F.col("sets"), F.lit(most))), ["group"])
     fits = (F.col("sets") <= TILE_SETS) & (F.col("total") <= TILE_KEYS)
     columns = ["group", "cls", "n", "copies", "keys", "band", "kind", "x", "y", "side"]
     zero = F.lit(0).cast("long")
@@ -266,9 +269,10 @@ def _tiled(groups: DataFrame) -> DataFrame:
     # bands a little wider than the size ratio of linked sets, so that rounding can't part them by two
     step = -math.log((PERCENT - 0.1) / 100)
     many = sized.where(~fits).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
-    pieces = many.groupBy("group", "band").agg(F.greatest(F.ceil(F.sum("s") * 2 / TILE_KEYS), F.ceil(F.count("*") * 2 / TILE_SETS)).cast("long").alias("p"))
+    pieces = many.groupBy("group", "band").agg(F.greatest(F.ceil(F.sum("s") * 2 / TILE_KEYS), F.ceil(F.count("*") * 2 / TILE_SETS)).cast("long").alias("p"), F.count("*").alias("c"))
     other = lambda by, name: pieces.select("group", (F.col("band") - by).alias("band"), F.col("p").alias(name))
-    many = many.join(pieces, ["group", "band"]).join(other(1, "above"), ["group", "band"], "left").join(other(-1, "below"), ["group", "band"], "left")
+    around = pieces.join(other(1, "above"), ["group", "band"], "left").join(other(-1, "below"), ["group", "band"], "left")
+    many = attach(many, around.select("group", "band", "p", "above", "below", is_hot(F.col("c"), F.lit(most))), ["group", "band"])
     mine = F.pmod(F.xxhash64("cls"), "p")
     spot = lambda band, kind, x, y, side: F.struct(band.cast("long").alias("band"), F.lit(kind).cast("long").alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     upto = lambda n: F.sequence(zero, n - 1)
@@ -287,34 +291,34 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = written(docs.mapInArrow(W.tidied(_classes(shingle)), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
-    log_ranges = max(3, docs.rdd.getNumPartitions().bit_length() + 1)
+    size = int(docs.select("text")._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    # inputs that aren't files have no size; their partitions tell
+    log_ranges = max(3, max(docs.rdd.getNumPartitions(), size // RANGE_BYTES if size < 1 << 60 else 0).bit_length() + 1)
     blocks = docs.select("text").mapInArrow(W.tidied(_blocks(shingle, log_ranges)), _BLOCKS)
     shared = blocks.groupBy("r").applyInArrow(W.tidied(_shared), _SHARED)
     left = shared.groupBy("block").applyInArrow(W.tidied(_left(percent)), _LEFT)
     left = written(left.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "s", "keys", "prefix"))), "candidates")
 
+    candidates = left.count()
     met = left.select("cls", F.explode("prefix").alias("key"))
-    stars = met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
-    groups = components(met.join(stars, "key").select(F.col("cls").alias("a"), "b"))
+    stars = met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1")
+    groups = components(attach(met, stars.select("key", "b", is_hot(F.col("c"), F.lit(candidates))), ["key"]).select(F.col("cls").alias("a"), "b"))
     copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
     grouped = left.select("cls", "n", "s", "keys").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls").join(copies, "cls")
-    links = written(_tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary, links long"), "links")
+    links = written(_tiled(grouped, candidates).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary, links long"), "links")
     roots = components(links).select(F.col("node").alias("cls"), "root")
     others = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+    all_rows = rows.count()
     known = roots.join(others, "cls").join(copies.where("copies > 1"), "cls", "full")
+    known = written(known.select("*", is_hot(F.coalesce("copies", F.lit(1)), F.lit(all_rows))), "classes")
 
     alone = F.concat(F.lit("alone "), F.coalesce(F.to_json(F.struct("doc_id")), F.lit(""))).cast("binary")
     n_links = (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long")
-    rooted = rows.join(known, "cls", "left").select("doc_id", "n_shingles", n_links.alias("n_links"), F.coalesce("root", "cls", alone).alias("root"))
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("root", "binary"), ("links", "long"), ("copies", "long"))]
+    found = attach(rows.where("cls is not null"), known, ["cls"], "left").unionByName(rows.where("cls is null").select("*", *none))
+    rooted = found.select("doc_id", "n_shingles", n_links.alias("n_links"), F.coalesce("root", "cls", alone).alias("root"))
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("c"))
-    # Roots of a thousandth of all rows or more are at most a thousand, so these may be broadcast;
-    # their rows, however many, then need not meet in one task.
-    hot = least.where(F.col("c") * HOT >= rows.count()).select("root", F.struct("component_id").alias("hot"))
-    marked = rooted.join(F.broadcast(hot), "root", "left")
-    own = ["doc_id", "n_shingles", "n_links"]
-    most = marked.where("hot is not null").select(*own, F.col("hot.component_id").alias("component_id"))
-    other = marked.where("hot is null").drop("hot").join(least.drop("c"), "root").select(*own, "component_id")
-    return most.unionByName(other).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
+    return attach(rooted, least.select("root", "component_id", is_hot(F.col("c"), F.lit(all_rows))), ["root"]).select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "n_links")
 
 
 def keep_one(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

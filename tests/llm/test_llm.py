@@ -403,9 +403,10 @@ def linked(sets):
     return [(d, len(s), (min((x for x in ids[find(i)] if x is not None), default=None) if s else d)) for i, (d, s) in enumerate(sets)]
 
 
-@pytest.mark.parametrize("tile", [4000, 6])
-def test_jaccard(spark, documents, rows, tile, monkeypatch):
+@pytest.mark.parametrize("tile, hot", [(4000, 1000), (6, 4)])
+def test_jaccard(spark, documents, rows, tile, hot, monkeypatch):
     monkeypatch.setattr(jaccard, "TILE_SETS", tile)
+    monkeypatch.setattr(components, "HOT", hot)
     near = [(2 * 10**6 + k, " ".join(f"w{j}" if (j * 7 + k) % 100 > k % 6 else f"z{k}x{j}" for j in range(100 + k % 3))) for k in range(60)]
     more = documents.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
     compare(jaccard.join(more.repartition(3).transform(lambda d: _stable(spark, d))), linked(sets_of(rows + near)), ["n_shingles", "component_id"])
@@ -449,10 +450,22 @@ def test_forest_tile():
     assert len({(a, b[2]) for a, b in zip(label.tolist(), want)}) == len(set(label.tolist())) == len({b[2] for b in want})
 
 
-def test_components(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (7, 7)]
+@pytest.mark.parametrize("hot", [1, 4, 1000])
+def test_components(spark, hot, monkeypatch):
+    monkeypatch.setattr(components, "HOT", hot)
+    edges = [(i, i + 1) for i in range(40)] + [(100, 103), (101, 103), (7, 7)] + [(200 + i, 500) for i in range(60)] + [(150, 500), (600, 601)] * 2
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100}
+    assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100, 103: 100} | {i: 150 for i in (150, 500, *range(200, 260))} | {600: 600, 601: 600}
+    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_attach(spark, how):
+    rows = spark.createDataFrame([(k % 5, k) for k in range(20)], "k int, x int")
+    values = spark.createDataFrame([(0, "a", True), (1, "b", False), (7, "c", True)], "k int, v string, hot boolean")
+    got = sorted((r.k, r.x, r.v or "") for r in components.attach(rows, values, ["k"], how).collect())
+    want = {0: "a", 1: "b"} if how == "inner" else {0: "a", 1: "b", 2: "", 3: "", 4: ""}
+    assert got == sorted((k % 5, k, want[k % 5]) for k in range(20) if k % 5 in want)
 
 
 def test_quality(spark, documents, rows):
