@@ -22,22 +22,28 @@ def attach(rows: DataFrame, values: DataFrame, key: list[str], how: str = "inner
 
     The rows of hot keys stay where they are and get the broadcast value, so they never meet in one task.
     """
-    few = F.broadcast(values.where("hot").drop("hot"))
-    others = rows.join(F.broadcast(values.where("hot").select(*key)), key, "left_anti").join(values.where("not hot").drop("hot"), key, how)
-    return rows.join(few, key).unionByName(others)
+    own = [c for c in values.columns if c not in (*key, "hot")]
+    few = values.where("hot").select(*key, F.struct(*own).alias("_few"))
+    seen = rows.join(F.broadcast(few), key, "left")
+    hot = seen.where("_few is not null").select(*rows.columns, *(F.col("_few").getField(c).alias(c) for c in own))
+    others = seen.where("_few is null").select(*rows.columns).join(values.where("not hot").drop("hot"), key, how)
+    return hot.unionByName(others.select(*hot.columns))
 
 
-def _step(labels: DataFrame, edges: DataFrame, hot: DataFrame) -> DataFrame:
+def _parts(name: str = "salt") -> F.Column:
+    return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(name)
+
+
+def _step(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """The smallest label among a node and its neighbours, then that label's own label."""
-    near = labels.select(F.col("node").alias("b"), F.col("root").alias("near"))
-    seen = edges.where("hot").join(F.broadcast(near.join(F.broadcast(hot), "b")), "b").unionByName(edges.where("not hot").join(near, "b"))
-    around = seen.groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-    moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"))
+    near = labels.select(F.col("node").alias("b"), F.col("root").alias("near"), _parts())
+    around = edges.join(near, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+    moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"), "parts")
     # the labels of distinct roots, once for every part of the rows that have the root
     after = moved.select("root").distinct().join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-    after = after.select("root", "next", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    after = after.select("root", "next", F.lit(SALT).alias("parts")).select("root", "next", _parts())
     salted = moved.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
-    return salted.join(after, ["root", "salt"]).select("node", F.least("root", "next").alias("root"))
+    return salted.join(after, ["root", "salt"]).select("node", F.least("root", "next").alias("root"), "parts")
 
 
 def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
@@ -45,19 +51,21 @@ def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
 
     Labels spread to neighbours and jump to their own labels, so the rounds grow with the logarithm
     of the longest path; more than `rounds` of them, which no path of less than 2 ** 100 nodes needs, is an error. Every
-    round is written to the shared folder. Edges to hot nodes get the node's label by broadcast, and the rows that have
-    one root are dealt to SALT tasks.
+    round is written to the shared folder. The edges to one hot node are dealt to SALT tasks, each of which gets the
+    node's label, and so are the rows that have one root.
     """
     edges = edges.where("a != b")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    degree = both.groupBy(F.col("b")).agg(F.count("*").alias("n"))
-    hot = written(degree.where(is_hot(F.col("n"), F.lit(both.count()))).select("b").coalesce(1), "hot")
-    marked = both.join(F.broadcast(hot.withColumn("hot", F.lit(True))), "b", "left").select("a", "b", F.coalesce("hot", F.lit(False)).alias("hot"))
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
+    total = F.lit(both.count())
+    hot = both.groupBy("b").agg(F.count("*").alias("n")).where(is_hot(F.col("n"), total)).select("b", F.lit(True).alias("hot"))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).otherwise(0)
+    salted = written(both.join(F.broadcast(hot), "b", "left").select("a", "b", salt.alias("salt")), "salted")
+    # every edge is there both ways, so a node has as many rows on either side
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"), F.when(is_hot(F.count("*"), total), SALT).otherwise(1).alias("parts"))
     for _ in range(rounds):
-        moved = _step(labels, marked, hot)
+        moved = _step(labels, salted)
         done = written(moved.join(labels.select("node", F.col("root").alias("old")), "node"), "labels")
-        labels = done.select("node", "root")
+        labels = done.select("node", "root", "parts")
         if done.where("old != root").isEmpty():
-            return labels
+            return labels.select("node", "root")
     raise RuntimeError(f"components did not settle in {rounds} rounds")
