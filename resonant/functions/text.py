@@ -196,3 +196,10 @@ def post_tokens(tagged: Column) -> Column:
     squashed = F.transform(raw, lambda t: F.regexp_replace(t, r"(.)\1{2,}", "$1$1"))
     spoken = F.flatten(F.transform(squashed, lambda t: F.split(F.coalesce(F.try_element_at(slang, t), t), " ")))
     return F.filter(spoken, lambda t: ~t.isin("@", "#", "&", "") & ~is_punctuation(t))
+
+
+def likely_english(c: Column, least: float = 0.1) -> Column:
+    """Whether a tenth of the words of a text are English stop words."""
+    found = words(c)
+    listed = F.array(*(F.lit(w) for w in C.STOP_WORDS))
+    return F.size(F.filter(found, lambda w: F.array_contains(listed, w))) >= least * F.greatest(F.size(found), F.lit(1))

@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from . import vectors as V
 from ..sources.tables import written
 
+BLOCK, PARTS = 256, 64
+
 
 def similarity_graph(vectors: DataFrame, *, strategy: str = "top_m", top_m: int = 20, threshold: float = 0.1) -> DataFrame:
     """Directed edges (src, dst, weight) from (id, vec); top_m drops neighbours of similarity 0 or less after ranking."""
@@ -36,11 +38,16 @@ def row_normalized(edges: DataFrame) -> DataFrame:
 def teleport(queries: DataFrame, nodes: DataFrame, *, emotion: float = 0.6, topic: float = 0.4) -> DataFrame:
     """(query_id, id, v): similarity of every node to a query, divided by its sum; uniform if that is not positive.
 
-    queries: (query_id, qe, qt), a small stated set; nodes: (id, emotion, topic).
+    queries: (query_id, qe, qt), a stated set; nodes: (id, emotion, topic). Queries meet the nodes in blocks of about
+    BLOCK, and the nodes of one block are dealt to PARTS tasks, each of which gets the block.
     """
-    s = nodes.join(queries, how="cross").select("query_id", "id", (emotion * V.cosine("qe", "emotion") + topic * V.cosine("qt", "topic")).alias("s"))
+    blocks = max(1, -(-queries.count() // BLOCK))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query_id", "qe", "qt")).alias("qs")).select("*", every(PARTS).alias("part"))
+    dealt = nodes.select("id", "emotion", "topic", F.pmod(F.xxhash64("id"), F.lit(PARTS)).cast("int").alias("part"), every(blocks).alias("block"))
+    s = dealt.join(q, ["block", "part"]).select("id", "emotion", "topic", F.explode("qs").alias("q")).select("q.query_id", "id", (emotion * V.cosine("q.qe", "emotion") + topic * V.cosine("q.qt", "topic")).alias("s"))
     sums = s.groupBy("query_id").agg(F.sum("s").alias("total"), F.count("*").alias("n"))
-    return s.join(F.broadcast(sums), "query_id").select("query_id", "id", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(1 / F.col("n")).alias("v"))
+    return s.join(sums, "query_id").select("query_id", "id", F.when(F.col("total") > 0, F.col("s") / F.col("total")).otherwise(1 / F.col("n")).alias("v"))
 
 
 def pagerank(edges: DataFrame, start: DataFrame, *, alpha: float = 0.85, tol: float = 1e-6, max_iter: int = 100, fixed: int | None = None) -> DataFrame:
@@ -52,7 +59,7 @@ def pagerank(edges: DataFrame, start: DataFrame, *, alpha: float = 0.85, tol: fl
     """
     m = written(row_normalized(edges), "walk")
     n = start.groupBy("query_id").agg(F.count("*").alias("n"))
-    state = written(start.join(F.broadcast(n), "query_id").select("query_id", "id", "v", (1 / F.col("n")).alias("r"), F.lit(False).alias("done")), "rank")
+    state = written(start.join(n, "query_id").select("query_id", "id", "v", (1 / F.col("n")).alias("r"), F.lit(False).alias("done")), "rank")
     for i in range(fixed if fixed is not None else max_iter):
         walked = m.join(state.where("not done").select("query_id", F.col("id").alias("dst"), "r"), "dst").groupBy("query_id", F.col("src").alias("id")).agg(F.sum(F.col("weight") * F.col("r")).alias("w"))
         step = state.join(walked, ["query_id", "id"], "left").withColumn("new", F.when(F.col("done"), F.col("r")).otherwise((1 - alpha) * F.coalesce("w", F.lit(0.0)) + alpha * F.col("v")))
@@ -63,7 +70,21 @@ def pagerank(edges: DataFrame, start: DataFrame, *, alpha: float = 0.85, tol: fl
             continue
         step = written(step, "step")
         short = step.groupBy("query_id").agg((F.sqrt(F.sum((F.col("new") - F.col("r")) ** 2)) < tol).alias("short"))
-        state = written(step.join(F.broadcast(short), "query_id").select("query_id", "id", "v", F.when(F.col("short"), F.col("r")).otherwise(F.col("new")).alias("r"), (F.col("done") | F.col("short")).alias("done")), "rank")
+        state = written(step.join(short, "query_id").select("query_id", "id", "v", F.when(F.col("short"), F.col("r")).otherwise(F.col("new")).alias("r"), (F.col("done") | F.col("short")).alias("done")), "rank")
         if state.where("not done").isEmpty():
             break
     return state.select("query_id", "id", F.col("r").alias("score"))
+
+
+def recommend(edges: DataFrame, nodes: DataFrame, queries: DataFrame, *, k: int = 10, **walk) -> DataFrame:
+    """(query_id, rank, doc_id, score): teleport vector, walk and the k best nodes in one call; queries: (query_id, qe, qt), nodes: (id, emotion, topic)."""
+    from .retrieval import top_k
+
+    out = pagerank(edges, teleport(queries, nodes), **walk).select("query_id", F.col("id").alias("doc_id"), F.round("score", 9).alias("score"))
+    return top_k(out, k).select("query_id", "rank", "doc_id", "score")
+
+
+def aligned_queries(posts: DataFrame, emotion: DataFrame, topic: DataFrame) -> DataFrame:
+    """(query_id, qe, qt) of posts whose position has a row in both tables (post_idx, vec); others are skipped."""
+    both = posts.select("post_idx").join(emotion.select("post_idx", F.col("vec").alias("qe")), "post_idx").join(topic.select("post_idx", F.col("vec").alias("qt")), "post_idx")
+    return both.select(F.col("post_idx").alias("query_id"), "qe", "qt")

@@ -19,9 +19,12 @@ def stratified(rows: DataFrame, label: str = "label", *, test: float = 0.2, seed
 
 
 class TextClassifier:
-    """TF-IDF of words and word pairs, then logistic regression (C as in public libraries: penalty 1 / (C n))."""
+    """TF-IDF of words and word pairs, then logistic regression (C as in public libraries: penalty 1 / (C n)).
 
-    def __init__(self, *, most: int = 2, min_df: int = 2, features: int = 1 << 18, c: float = 1.0, max_iter: int = 2000):
+    features: the vocabulary's bound, by corpus frequency; as large a number as wanted keeps every term.
+    """
+
+    def __init__(self, *, most: int = 2, min_df: int = 2, features: int = 50_000, c: float = 1.0, max_iter: int = 2000):
         self.most, self.min_df, self.features, self.c, self.max_iter = most, min_df, features, c, max_iter
         self.words: CountVectorizerModel
         self.model: LogisticRegressionModel

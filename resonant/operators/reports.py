@@ -8,8 +8,10 @@ from ..functions import constants as C
 from ..functions import text as X
 
 
-def label_distribution(rows: DataFrame, label: str = "label") -> DataFrame:
-    return rows.groupBy(label).agg(F.count("*").alias("n")).orderBy(label)
+def label_distribution(rows: DataFrame, *labels: str) -> DataFrame:
+    """How many rows have each label, in the labels' order."""
+    labels = labels or ("label",)
+    return rows.groupBy(*labels).agg(F.count("*").alias("n")).orderBy(*labels)
 
 
 def expansion_percentiles(posts: DataFrame) -> DataFrame:
@@ -32,6 +34,11 @@ def length_histogram(lengths: DataFrame, per_decade: int = 5) -> DataFrame:
     return lengths.where("n > 0").groupBy(F.floor(F.log10(F.col("n").cast("double")) * per_decade + 1e-9).cast("int").alias("bin")).agg(F.count("*").alias("count"))
 
 
+def length_medians(lengths: DataFrame) -> DataFrame:
+    """One row: median of the positive lengths n and how many there are."""
+    return lengths.where("n > 0").agg(F.percentile("n", 0.5).alias("median"), F.count("*").alias("n"))
+
+
 def top_words(counts: DataFrame, k: int = 20) -> DataFrame:
     """(term, cnt) of the most frequent terms, domain words left out and some masked."""
     kept = counts.where(~F.col("term").isin(list(C.DOMAIN_STOP_WORDS))).orderBy(F.desc("cnt"), "term").limit(k)

@@ -6,6 +6,8 @@ equi-join that Catalyst can plan. Scoring joins only the postings of terms that
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from ..sources.tables import written
@@ -19,8 +21,8 @@ def token_rows(docs: DataFrame) -> DataFrame:
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, term, tf)."""
-    return token_rows(docs).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+    """(doc_id, n, term, tf). Token arrays are dealt by document before they become rows, so the rows themselves aren't shuffled."""
+    return token_rows(docs.repartition("doc_id")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
 
 
 def length_stats(docs: DataFrame) -> DataFrame:
@@ -112,23 +114,94 @@ def scores(query: DataFrame, doc: DataFrame, digits: int = 6) -> DataFrame:
     return pair.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("dw")), digits).alias("score"))
 
 
+def part_of_weight(scheme: str, tf: Column, n: Column, avgdl: Column, k1: float = K1, b: float = B) -> Column:
+    """A weight without its idf."""
+    return bm25(F.lit(1.0), tf, n, avgdl, k1, b) if scheme == "bm25" else tf / n
+
+
+def ranked_scores(queries: DataFrame, postings: DataFrame, terms: DataFrame, avgdl: float, *, scheme: str = "bm25", k1: float = K1, b: float = B) -> DataFrame:
+    """(query_id, doc_id, score) from postings (term, doc_id, part: the weight without its idf) and terms (term, idf).
+
+    The idf of both sides goes to the query's, which is written and so has a known size: Spark broadcasts it up to its
+    own bound and beyond that joins by term, where adaptive execution splits the postings of frequent terms.
+    """
+    q = term_counts(queries.select(F.col("query_id").alias("doc_id"), "tokens")).join(terms, "term")
+    q = q.select(F.col("doc_id").alias("query_id"), "term", (part_of_weight(scheme, F.col("tf"), F.col("n"), F.lit(avgdl), k1, b) * F.col("idf") * F.col("idf")).alias("qw"))
+    pair = postings.select("term", "doc_id", "part").join(written(q, "query"), "term")
+    return pair.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("part")), 6).alias("score"))
+
+
 def retrieve(docs: DataFrame, queries: DataFrame, *, k: int = 100, scheme: str = "bm25", include_zero: bool = False) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents of every query.
 
+    Documents are counted for the terms of the queries only, in one scan; these postings are written, and df is counted from them.
     include_zero fills up queries with fewer than k matches with documents of score 0, the largest
     ids first; no more than 2k ids can be needed for that.
     """
-    terms = queries.select(F.explode("tokens").alias("term"))
-    found = scores(query_weights(queries, docs, scheme=scheme), doc_weights(docs, scheme=scheme, terms=terms))
+    if scheme not in ("bm25", "tfidf"):
+        raise ValueError(f"unknown mode: {scheme}")
+    n_docs, avgdl = length_stats(docs).select("n_docs", "avgdl").first()
+    asked = written(queries.select(F.explode("tokens").alias("term")).distinct(), "terms")
+    tf = written(token_rows(docs.repartition("doc_id")).join(asked, "term").groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf")), "postings")
+    terms = tf.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(n_docs), F.col("df"), scheme).alias("idf"))
+    postings = tf.select("term", "doc_id", part_of_weight(scheme, F.col("tf"), F.col("n"), F.lit(avgdl)).alias("part"))
+    found = ranked_scores(queries, postings, terms, avgdl, scheme=scheme)
     if include_zero:
         best = top_k(found, k)
         last = docs.select("doc_id").orderBy(F.desc("doc_id")).limit(2 * k)
         short = queries.select("query_id").join(best.groupBy("query_id").agg(F.count("*").alias("have")), "query_id", "left").where(F.coalesce("have", F.lit(0)) < k)
-        fill = short.select("query_id").withColumn("ids", F.lit(0)).join(F.broadcast(last.agg(F.collect_list("doc_id").alias("all")))).select("query_id", F.explode("all").alias("doc_id"))
+        fill = short.select("query_id", F.explode(last.agg(F.collect_list("doc_id")).scalar()).alias("doc_id"))
         found = best.drop("rank").unionByName(fill.join(best, ["query_id", "doc_id"], "left_anti").withColumn("score", F.lit(0.0)))
     return top_k(found, k).select("query_id", "rank", "doc_id", "score")
 
 
+class Index(NamedTuple):
+    """A stored retrieval index."""
+
+    documents: DataFrame  # doc_id, n (tokens)
+    vocabulary: DataFrame  # term, df, col_idx
+    idf: DataFrame  # term, idf
+    postings: DataFrame  # term, doc_id, part, weight
+    metadata: DataFrame  # one row: n_docs, avgdl, vocab_size, scheme, k1, b, min_df, max_df_ratio, max_df
+
+
+def build_index(docs: DataFrame, *, scheme: str = "bm25", k1: float = K1, b: float = B, min_df: int = 1, max_df_ratio: float = 1.0, existing: DataFrame | None = None) -> Index:
+    """Every table of an index over (doc_id, tokens); terms outside the vocabulary have no postings. `save_index` writes it."""
+    n_docs, avgdl = length_stats(docs).select("n_docs", "avgdl").first()
+    tf = written(term_counts(docs), "postings")
+    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    max_df = int(n_docs * max_df_ratio)
+    kept = df.where((F.col("df") >= min_df) & (F.col("df") <= max_df)) if existing is None else existing.select("term").distinct().join(df, "term", "left").select("term", F.coalesce("df", F.lit(0)).alias("df"))
+    words = numbered(kept, "term", "col_idx")
+    weights = words.select("term", idf(F.lit(n_docs), F.col("df"), scheme).alias("idf"))
+    part = part_of_weight(scheme, F.col("tf"), F.col("n"), F.lit(avgdl), k1, b)
+    postings = tf.join(weights, "term").select("term", "doc_id", part.alias("part"), (part * F.col("idf")).alias("weight"))
+    one = words.agg(F.count("*").alias("vocab_size")).select(
+        F.lit(n_docs).alias("n_docs"), F.lit(avgdl).alias("avgdl"), "vocab_size", F.lit(scheme).alias("scheme"), F.lit(k1).alias("k1"), F.lit(b).alias("b"),
+        F.lit(min_df).alias("min_df"), F.lit(max_df_ratio).alias("max_df_ratio"), F.lit(max_df).cast("long").alias("max_df"),
+    )
+    return Index(docs.select("doc_id", F.size("tokens").cast("long").alias("n")), words, weights, postings, one)
+
+
+def query_index(index: Index, queries: DataFrame, *, k: int = 10) -> DataFrame:
+    """(query_id, rank, doc_id, score) of (query_id, tokens) from a stored index, with nothing counted again."""
+    m = index.metadata.first()
+    found = ranked_scores(queries, index.postings, index.idf, m["avgdl"], scheme=m["scheme"], k1=m["k1"], b=m["b"])
+    return top_k(found, k).select("query_id", "rank", "doc_id", "score")
+
+
+def with_titles(ranked: DataFrame, songs: DataFrame, *, key: str = "doc_id") -> DataFrame:
+    """ranked with title and artist of (key, title, artist); "Unknown" where there is none."""
+    named = songs.select(key, "title", "artist")
+    return ranked.join(named, key, "left").select(*ranked.columns, *(F.coalesce(c, F.lit("Unknown")).alias(c) for c in ("title", "artist")))
+
+
+def display_lines(titled: DataFrame, *, width: int = 50) -> DataFrame:
+    """(query_id, rank, line, score): one printable line for each hit; longer names end in dots."""
+    cut = lambda c: F.when(F.length(c) > width, F.concat(F.left(c, F.lit(width - 3)), F.lit("..."))).otherwise(F.col(c))
+    return titled.select("query_id", "rank", F.format_string("%2d. %s - %s", F.col("rank"), cut("title"), cut("artist")).alias("line"), "score")
+
+
 def rerank(candidates: DataFrame, query_vectors: DataFrame, doc_vectors: DataFrame, *, sem: float = 0.5, emo: float = 0.3, topic: float = 0.2, pop: float = 0.0) -> DataFrame:
     """Extended: weighted sum of retrieval score, emotion and topic cosine, and popularity, ranked within each query."""
     from .vectors import cosine

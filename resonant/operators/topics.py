@@ -7,6 +7,7 @@ from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
+from ..functions import constants as C
 from ..sources.tables import written
 from . import retrieval as R
 from . import vectors as V
@@ -34,6 +35,23 @@ def tfidf(docs: DataFrame, *, min_df: int = 1, max_df_ratio: float = 1.0, max_fe
     return raw.join(size, "doc_id").select("doc_id", "term", (F.col("w") / F.col("size")).alias("weight"))
 
 
+def topic_stop_words() -> tuple[str, ...]:
+    """The general stop words and those of the topic model, each once."""
+    return tuple(dict.fromkeys((*C.STOP_WORDS, *C.TOPIC_STOP_WORDS)))
+
+
+def without_stop_words(tokens: Column, words: tuple[str, ...] | None = None) -> Column:
+    """Tokens of two letters or more that are no stop words."""
+    listed = F.array(*(F.lit(w) for w in (topic_stop_words() if words is None else words)))
+    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~F.array_contains(listed, x))
+
+
+def ngram_tfidf(docs: DataFrame, *, most: int = 2, min_df: int = 2, max_features: int | None = 50_000, stop_words: tuple[str, ...] | None = None) -> DataFrame:
+    """(doc_id, term, weight) of words and runs of up to `most` words, formed after the stop words are gone; no stop words: an empty tuple."""
+    kept = docs.select("doc_id", ngrams(without_stop_words(F.col("tokens"), stop_words), most).alias("tokens"))
+    return tfidf(kept, min_df=min_df, max_features=max_features)
+
+
 def cluster_sizes(assigned: DataFrame, k: int, small: int = 30) -> DataFrame:
     """(cluster, size, is_small) for every cluster, empty ones included."""
     every = assigned.sparkSession.range(k).select(F.col("id").cast("int").alias("cluster"))
@@ -61,6 +79,17 @@ def centroid_pairs(centers: DataFrame) -> DataFrame:
     return a.join(b, F.col("i") < F.col("j")).select("i", "j", V.cosine("vi", "vj").alias("sim"))
 
 
+def top_pairs(pairs: DataFrame, n: int = 50) -> DataFrame:
+    """(rank, i, j, sim) of the n most similar pairs."""
+    best = pairs.orderBy(F.desc("sim"), "i", "j").limit(n)
+    return best.select(F.row_number().over(Win.orderBy(F.desc("sim"), "i", "j")).alias("rank"), "i", "j", "sim")
+
+
+def pairs_above(pairs: DataFrame, threshold: float = 0.57) -> DataFrame:
+    """(i, j, sim) of the pairs that reach the threshold, the most similar first."""
+    return pairs.where(F.col("sim") >= threshold).orderBy(F.desc("sim"), "i", "j")
+
+
 def merge_map(pairs: DataFrame, k: int, threshold: float = 0.57) -> DataFrame:
     """(old_id, new_id): clusters linked by pairs of at least the threshold, also through others, become one.
 
@@ -68,7 +97,7 @@ def merge_map(pairs: DataFrame, k: int, threshold: float = 0.57) -> DataFrame:
     label spreads along the links, at most k rounds over at most k * k pairs.
     """
     spark = pairs.sparkSession
-    links = pairs.where(F.col("sim") >= threshold)
+    links = pairs_above(pairs, threshold)
     both = written(links.select("i", "j").unionByName(links.select(F.col("j").alias("i"), F.col("i").alias("j"))), "links")
     labels = spark.range(k).select(F.col("id").cast("int").alias("i"), F.col("id").cast("int").alias("root"))
     for _ in range(k):
@@ -101,8 +130,7 @@ def silhouette(vectors: DataFrame, assigned: DataFrame, k: int) -> DataFrame:
     u = vectors.join(assigned, "id").select("id", "cluster", F.transform("vec", lambda x: x / F.greatest(V.norm("vec"), F.lit(1e-12))).alias("u"))
     flat = u.select("cluster", F.posexplode("u").alias("i", "x")).groupBy("cluster", "i").agg(F.sum("x").alias("s"))
     sums = flat.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"]).alias("s")).join(u.groupBy("cluster").agg(F.count("*").alias("n")), "cluster")
-    every = F.broadcast(sums.agg(F.collect_list(F.struct("cluster", "s", "n")).alias("all")))
-    j = u.join(every)
+    j = u.withColumn("all", sums.agg(F.collect_list(F.struct("cluster", "s", "n"))).scalar())
     own = F.get(F.filter("all", lambda c: c["cluster"] == F.col("cluster")), F.lit(0))
     a = (own["n"] - 1 - (V.dot("u", own["s"]) - 1)) / (own["n"] - 1)
     b = F.array_min(F.transform(F.filter("all", lambda c: c["cluster"] != F.col("cluster")), lambda c: 1 - V.dot("u", c["s"]) / c["n"]))
@@ -120,6 +148,13 @@ def fit_kmeans(vectors: DataFrame, k: int, *, seeds: int = 10, seed: int = 42, m
         rows.unpersist()
 
 
+def refit(vectors: DataFrame, scan: list[tuple[int, float, float]], path: str, **options) -> KMeansModel:
+    """A model of the scan's best K, fitted again and saved."""
+    model = fit_kmeans(vectors, best_k(scan), **options)
+    model.write().overwrite().save(path)
+    return model
+
+
 def assign(model: KMeansModel, vectors: DataFrame) -> DataFrame:
     return model.transform(vectors.select("id", array_to_vector("vec").alias("features"))).select("id", F.col("prediction").alias("cluster"))
 

@@ -63,8 +63,18 @@ def multi_hot(p, threshold: float = 0.2) -> Column:
 
 
 def aligned(ids: DataFrame, vectors: DataFrame, key: str, width: int, name: str = "vec") -> DataFrame:
-    """Every id with its vector; a missing one is zero."""
-    return ids.join(vectors, key, "left").withColumn(name, F.coalesce(name, F.array(*[F.lit(0.0)] * width)))
+    """Every id with its vector; a missing one is zero, one of another width is an error."""
+    wrong = F.raise_error(F.concat(F.lit("a vector has width "), F.size(name).cast("string")))
+    own = F.when(F.size(name) != width, wrong.cast("array<double>")).otherwise(F.coalesce(name, F.array(*[F.lit(0.0)] * width)))
+    return ids.join(vectors, key, "left").withColumn(name, own)
+
+
+def align_tokens(ids: DataFrame, tokens: DataFrame, key: str, policy: str = "drop") -> DataFrame:
+    """ids with their tokens; those without tokens are dropped, or kept with an empty array."""
+    if policy not in ("drop", "empty"):
+        raise ValueError(f"unknown policy: {policy}")
+    out = ids.join(tokens, key, "left").withColumn("tokens", F.coalesce("tokens", F.array().cast("array<string>")))
+    return out.where(F.size("tokens") > 0) if policy == "drop" else out
 
 
 def _pairs(left: DataFrame, right: DataFrame, blocks: int) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window as Win, functions as F
 
 from ..functions import constants as C
 from ..functions import text as X
-from ..operators import reports, retrieval as R, topics as T
+from ..operators import expansion, reports, retrieval as R, topics as T
 from ..sources.tables import spread_table as table
 
 
@@ -93,10 +93,7 @@ def tfidf_global_top(s, d):
 
 def hf_source_gate(s, d):
     """Tokens in at least 5 % of the posts."""
-    posts = _posts(s, d)
-    n = posts.agg(F.count("*")).scalar()
-    df = posts.select("post_idx", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= 5) & (F.col("df") >= 0.05 * n) & ~F.col("term").isin(list(C.GATE_EXEMPT))).orderBy(F.desc("df"), "term").limit(500)
+    return expansion.frequent_sources(_posts(s, d), min_df=5)
 
 
 def newterm_gate(s, d):
@@ -104,9 +101,7 @@ def newterm_gate(s, d):
     turns = table(s, d, "conversations").select("conv_id", "turn", X.words(F.col("text")).alias("tokens"))
     after = Win.partitionBy("conv_id").orderBy("turn")
     both = turns.select("conv_id", "turn", F.col("tokens").alias("clean"), F.lead("tokens").over(after).alias("tokens")).where("tokens is not null")
-    n = both.agg(F.count("*")).scalar()
-    df = both.select(F.explode(F.array_except("tokens", "clean")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    return df.where((F.col("df") >= 3) & (F.col("df") >= 0.03 * n)).orderBy(F.desc("df"), "term").limit(400)
+    return expansion.frequent_terms(both, min_df=3)
 
 
 def length_histogram(s, d):
@@ -123,7 +118,7 @@ def top_words(s, d):
 
 
 def label_distribution(s, d):
-    return table(s, d, "labels").groupBy("quality", "toxic").agg(F.count("*").alias("n"))
+    return reports.label_distribution(table(s, d, "labels"), "quality", "toxic")
 
 
 def stats_summary(s, d):

@@ -35,12 +35,19 @@ def _sql_values(rows, names: str, quote: str = "'") -> str:
     return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") AS v({names})"
 
 
-def _lyrics(s):
-    return _values(s, list(enumerate(LYRICS)), "id, t")
+def _with_samples(rows: DataFrame, key: str, samples) -> DataFrame:
+    """(id, t): every text followed by one of the samples, which have what the generated tables lack."""
+    listed = F.array(*(F.lit(x.replace("\\n", "\n")) for x in samples))
+    return rows.select(F.col(key).alias("id"), F.concat(F.coalesce("text", F.lit("")), F.lit("\n"), F.element_at(listed, (F.col(key) % len(samples) + 1).cast("int"))).alias("t"))
 
 
-def _posts(s):
-    return _values(s, list(enumerate(POSTS)), "id, t")
+def _lyrics(s, d):
+    return _with_samples(table(s, d, "documents"), "doc_id", LYRICS)
+
+
+def _posts(s, d):
+    turns = table(s, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return _with_samples(turns, "id", POSTS)
 
 
 def normalize_title(s, d):
@@ -76,11 +83,11 @@ def metadata_line_filter(s, d):
 
 
 def section_line_filter(s, d):
-    return _lyrics(s).select("id", X.without_section_lines(F.col("t")).alias("kept"))
+    return _lyrics(s, d).select("id", F.md5(X.without_section_lines(F.col("t"))).alias("kept"))
 
 
 def contractions(s, d):
-    return _lyrics(s).select("id", X.expanded_lyrics(F.lower("t")).alias("t"))
+    return _lyrics(s, d).select("id", F.md5(X.expanded_lyrics(F.lower("t"))).alias("t"))
 
 
 def clean_lyrics(s, d):
@@ -88,12 +95,12 @@ def clean_lyrics(s, d):
 
 
 def bracket_class_summary(s, d):
-    p = _lyrics(s).select(F.explode(X.bracket_phrases(F.col("t"))).alias("phrase"))
+    p = _lyrics(s, d).select(F.explode(X.bracket_phrases(F.col("t"))).alias("phrase"))
     return p.select("phrase", X.phrase_class(F.col("phrase")).alias("class")).groupBy("class", "phrase").agg(F.count("*").alias("n"))
 
 
 def bracket_free(s, d):
-    return _lyrics(s).select("id", X.bracket_free_lines(F.col("t")).alias("t"))
+    return _lyrics(s, d).select("id", F.md5(X.bracket_free_lines(F.col("t"))).alias("t"))
 
 
 def merge_first_wins(s, d):
@@ -114,13 +121,13 @@ def lexicon_emotion(s, d):
 
 def emoji_emotion(s, d):
     t = emotion.emoji_table(_values(s, EMOJI, "emoji, phrase"), emotion.weights(s, _values(s, LEXICON, "word, label")))
-    out = emotion.from_emoji(_posts(s), t, key="id", text="t")
+    out = emotion.from_emoji(_posts(s, d), t, key="id", text="t")
     return out.select("id", *(F.round(F.col("vec")[i], 6).alias(e) for i, e in enumerate(C.EMOTIONS)), "used", "seen")
 
 
 def emoji_coverage(s, d):
     t = emotion.emoji_table(_values(s, EMOJI, "emoji, phrase"), emotion.weights(s, _values(s, LEXICON, "word, label")))
-    r = emotion.from_emoji(_posts(s), t, key="id", text="t")
+    r = emotion.from_emoji(_posts(s, d), t, key="id", text="t")
     return r.agg(F.count("*").alias("n"), F.sum((F.col("seen") > 0).cast("int")).alias("with_emoji"), F.sum((F.col("used") > 0).cast("int")).alias("covered"))
 
 
@@ -168,11 +175,11 @@ def _dictionary(s, d):
 
 
 def hashtag_split(s, d):
-    return _posts(s).select("id", posts.spelled_hashtags(F.col("t"), _dictionary(s, d)).alias("t"))
+    return _posts(s, d).select("id", posts.spelled_hashtags(F.col("t"), _dictionary(s, d)).alias("t"))
 
 
 def post_clean_tokens(s, d):
-    return posts.clean_tokens(_posts(s), _dictionary(s, d), text="t").select("id", F.array_join("tokens", " ").alias("tokens"))
+    return posts.clean_tokens(_posts(s, d), _dictionary(s, d), text="t").select("id", F.array_join("tokens", " ").alias("tokens"))
 
 
 def query_expansion(s, d):
@@ -192,7 +199,15 @@ def stem_vocabulary(s, d):
     return words.select("w", F.get(stemmed(F.array("w")), F.lit(0)).alias("stem"))
 
 
-_LY, _PO = _sql_values(list(enumerate(LYRICS)), "id, t"), _sql_values(list(enumerate(POSTS)), "id, t")
+
+
+def _sql_samples(rows: str, samples) -> str:
+    listed = ", ".join("'" + x.replace("\\n", "\n").replace("'", "''") + "'" for x in samples)
+    return f"(SELECT id, coalesce(text, '') || chr(10) || [{listed}][id % {len(samples)} + 1] AS t FROM ({rows})) AS v"
+
+
+_LY = _sql_samples("SELECT doc_id AS id, text FROM documents", LYRICS)
+_PO = _sql_samples("SELECT conv_id * 1000 + turn AS id, text FROM conversations WHERE role = 'user'", POSTS)
 _CO = "lower(t)"
 for _p, _by in C.LYRIC_CONTRACTIONS:
     _CO = f"regexp_replace({_CO}, '{_p.replace(chr(39), chr(39) * 2)}', '{_by}', 'g')"
@@ -228,7 +243,7 @@ ev AS (SELECT emoji, {_SUMS} FROM et JOIN lx USING (word) GROUP BY emoji), en AS
 es AS (SELECT emoji, {', '.join(f"CASE WHEN coalesce({_TOTAL}, 0) > 0 THEN {e} / ({_TOTAL}) ELSE {float(e == 'neutral')} END AS {e}" for e in C.EMOTIONS)} FROM en LEFT JOIN ev USING (emoji)),
 po AS (SELECT id, unnest(regexp_extract_all(t, '[{_CLASSES}]')) AS emoji FROM {_PO}),
 ps AS (SELECT id, count(*) AS used, {', '.join(f"sum({e}) AS {e}" for e in C.EMOTIONS)} FROM po JOIN es USING (emoji) GROUP BY id),
-r AS (SELECT p.id, {_shares()}, coalesce(used, 0) AS used, len(regexp_extract_all(t, '[{_CLASSES}]')) AS seen FROM {_PO.replace('AS v(', 'AS p(')} LEFT JOIN ps ON p.id = ps.id)"""
+r AS (SELECT p.id, {_shares()}, coalesce(used, 0) AS used, len(regexp_extract_all(t, '[{_CLASSES}]')) AS seen FROM {_PO.replace(') AS v', ') AS p')} LEFT JOIN ps ON p.id = ps.id)"""
 _FE = "SELECT p_partkey AS song_id, p_size, (p_partkey % 97) / 97.0::DOUBLE AS v, ((p_size * 7) % 50) / 50.0::DOUBLE AS e, ((p_partkey * 3) % 31) / 31.0::DOUBLE AS d, CASE WHEN p_size > 20 THEN (p_partkey % 11) / 11.0::DOUBLE ELSE 0 END AS a, least(greatest((40.0 + p_size * 3 - 60) / 120.0::DOUBLE, 0), 1) AS t FROM part"
 _RAW = {
     "joy": "0.60 * v + 0.15 * (1 - a) + 0.10 * (1 - abs(e - 0.5))", "anger": "0.55 * e + 0.25 * (1 - v) + 0.20 * t", "fear": "0.40 * (1 - v) + 0.35 * (1 - e) + 0.25 * a",
@@ -246,11 +261,11 @@ ORACLE_SQL = {
     "discard_short_docs": "SELECT doc_id FROM documents WHERE len(string_split(text, chr(10))) < 3 OR len(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '')) < 50 OR lang <> 'en'",
     "metadata_line_filter": f"""WITH l AS (SELECT doc_id, {_LINES} AS l FROM documents), f AS (SELECT doc_id, l, list_position(list_transform(l, lambda x: length(regexp_replace(x, '[^A-Za-z]', '', 'g')) / greatest(length(x), 1)::DOUBLE >= 0.6), true) AS spot FROM l),
 c AS (SELECT doc_id, CASE WHEN spot > 1 THEN l[spot:] ELSE l END AS l FROM f), o AS (SELECT doc_id, CASE WHEN length(l[1]) > 120 THEN l[2:] ELSE l END AS l FROM c) SELECT doc_id, len(l)::BIGINT AS n_lines, md5(coalesce(array_to_string(l, chr(10)), '')) AS digest FROM o""",
-    "section_line_filter": f"SELECT id, coalesce(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{X.section_pattern()}') AND NOT regexp_matches(x, '{C.REPEAT_LINE}')), chr(10)), '') AS kept FROM {_LY}",
-    "contractions": f"SELECT id, {_CO} AS t FROM {_LY}",
+    "section_line_filter": f"SELECT id, md5(coalesce(array_to_string(list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '' AND NOT regexp_matches(x, '{X.section_pattern()}') AND NOT regexp_matches(x, '{C.REPEAT_LINE}')), chr(10)), '')) AS kept FROM {_LY}",
+    "contractions": f"SELECT id, md5({_CO}) AS t FROM {_LY}",
     "clean_lyrics": f"SELECT doc_id, md5({_cleaned('text')}) AS digest FROM documents",
     "bracket_class_summary": f"WITH b AS (SELECT unnest(regexp_extract_all(t, '{C.BRACKETS}', 1)) AS raw FROM {_LY}), p AS (SELECT regexp_replace(trim(raw), '\\s+', ' ', 'g') AS phrase FROM b), c AS (SELECT phrase, trim(lower(phrase)) AS p FROM p) SELECT {_CLASS} AS class, phrase, count(*) AS n FROM c GROUP BY ALL",
-    "bracket_free": f"SELECT id, coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '{C.BRACKETS}', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '') AS t FROM {_LY}",
+    "bracket_free": f"SELECT id, md5(coalesce(array_to_string(list_filter(list_transform(string_split(regexp_replace(t, '{C.BRACKETS}', '', 'g'), chr(10)), lambda x: trim(x)), lambda x: x <> ''), chr(10)), '')) AS t FROM {_LY}",
     "merge_first_wins": "SELECT doc_id, lang FROM (SELECT doc_id, lang, row_number() OVER (PARTITION BY text ORDER BY (lang <> 'en')::INT, doc_id) AS k FROM documents) WHERE k = 1",
     "exact_duplicate_groups": "SELECT md5(text) AS digest, count(*) AS n, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS ids FROM documents GROUP BY text HAVING count(*) > 1",
     "lexicon_emotion": f"""WITH lx AS ({_LEX}), t AS (SELECT doc_id, word, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) GROUP BY ALL),

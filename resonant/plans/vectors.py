@@ -54,7 +54,7 @@ def graph_stats(s, d):
 def _teleport(s, d):
     h = _halves(s, d)
     q = h.where(f"id % {QUERY_STEP} = 0").select(F.col("id").alias("query_id"), F.col("emotion").alias("qe"), F.col("topic").alias("qt"))
-    return G.teleport(F.broadcast(q), h)
+    return G.teleport(q, h)
 
 
 def teleport_vector(s, d):

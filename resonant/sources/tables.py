@@ -23,9 +23,11 @@ def spread_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares for checkpoints; a temporary one only where none is set."""
+    """The folder that the cluster shares for checkpoints; a temporary one only where none is set and there is no cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         at = "file://" + tempfile.mkdtemp(prefix="resonant-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -44,14 +46,15 @@ def split_tokens(c: Column) -> Column:
 
 
 def read_tokens_csv(spark: SparkSession, path: str, *, last_wins: bool = False) -> DataFrame:
-    """(song_id, tokens) from a CSV file with a header; last_wins: ids are trimmed, empty ones skipped, the last of equals kept."""
+    """(song_id, tokens, token_count) from a CSV file with a header; last_wins: ids are trimmed, empty ones skipped, the last of equals kept."""
     raw = spark.read.csv(path, header=True)
     if missing := {"song_id", "tokens"} - set(raw.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     if last_wins:
         raw = raw.withColumn("song_id", F.trim("song_id")).where("song_id != ''").withColumn("_at", F.monotonically_increasing_id())
         raw = raw.withColumn("_k", F.row_number().over(Win.partitionBy("song_id").orderBy(F.desc("_at")))).where("_k = 1")
-    return raw.select("song_id", split_tokens(F.col("tokens")).alias("tokens"))
+    tokens = split_tokens(F.col("tokens"))
+    return raw.select("song_id", tokens.alias("tokens"), F.size(tokens).alias("token_count"))
 
 
 def read_json_array(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
@@ -77,16 +80,28 @@ def read_vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,bigint>")).alias("term", "cnt"))
 
 
-def read_posts(spark: SparkSession, path: str, *, prefer: str = "expanded_tokens", limit: int | None = None) -> DataFrame:
-    """(post_idx, text) from one post on each line: the preferred tokens, else the clean ones, else the raw text."""
-    raw = spark.read.json(path)
-    raw = raw.withColumn("post_idx", F.monotonically_increasing_id())
-    raw = raw.withColumn("post_idx", F.row_number().over(Win.orderBy("post_idx")).cast("long") - 1)
-    options = [F.when(F.size(c) > 0, F.array_join(c, " ")) for c in (prefer, "clean_tokens") if c in raw.columns]
-    out = raw.select("post_idx", F.coalesce(*options, *(["raw_text"] if "raw_text" in raw.columns else []), F.lit("")).alias("text"))
+def in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """rows with their position (from 0) in the order in which they are read; only one number for each partition is gathered."""
+    spot = F.monotonically_increasing_id()
+    placed = rows.withColumn("_part", F.shiftright(spot, 33)).withColumn("_at", spot.bitwiseAND(F.lit((1 << 33) - 1)))
+    size = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    start = size.select("_part", (F.sum("_n").over(Win.orderBy("_part")) - F.col("_n")).alias("_start"))
+    return placed.join(F.broadcast(start), "_part").withColumn(name, F.col("_at") + F.col("_start")).drop("_part", "_at", "_start")
+
+
+def read_posts(spark: SparkSession, path: str, *, prefer: str = "expanded_tokens", raw_text: bool = True, limit: int | None = None) -> DataFrame:
+    """(post_idx, text) from one post on each line: the preferred tokens, else the clean ones, else the raw text unless that is switched off."""
+    raw = in_file_order(spark.read.json(path), "post_idx")
+    options = [F.when(F.size(c) > 0, F.array_join(c, " ")) for c in dict.fromkeys((prefer, "clean_tokens")) if c in raw.columns]
+    out = raw.select("post_idx", F.coalesce(*options, *(["raw_text"] if raw_text and "raw_text" in raw.columns else []), F.lit("")).alias("text"))
     return out.orderBy("post_idx").limit(limit) if limit is not None else out
 
 
+def read_json_files(spark: SparkSession, folder: str, pattern: str = "*.json", schema: str | None = None) -> DataFrame:
+    """JSON arrays of all files of a folder whose names fit."""
+    return read_json_array(spark, f"{folder}/{pattern}", schema)
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """(word, label) of the rows flagged 1; rows without three fields are skipped."""
     raw = spark.read.csv(path, sep="\t", schema="word string, label string, flag string", mode="DROPMALFORMED")
@@ -153,12 +168,66 @@ def write_candidates(ranked: DataFrame, path: str) -> None:
     nested.write.mode("overwrite").json(path)
 
 
-def write_index(weights: DataFrame, vocabulary: DataFrame, stats: DataFrame, path: str) -> None:
-    """A retrieval index: weights by term, vocabulary, statistics."""
-    weights.repartition("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/weights")
-    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
-    stats.write.mode("overwrite").parquet(f"{path}/stats")
+def write_json(rows: DataFrame, path: str) -> None:
+    """One JSON object on each line."""
+    rows.write.mode("overwrite").json(path)
+
+
+def write_recommendations(ranked: DataFrame, path: str) -> None:
+    """One JSON object for each query with its recommendations (rank, doc_id, score)."""
+    nested = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "score"))).alias("recommendations"))
+    write_json(nested, path)
+
+
+def save_tables(tables: dict[str, DataFrame], path: str) -> None:
+    """Named tables below a folder."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_tables(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{path}/{name}") for name in names}
+
+
+def save_index(index, path: str) -> None:
+    """An index of `operators.retrieval.build_index`, postings by term so that a query reads only its terms' row groups."""
+    tables = index._asdict()
+    tables["postings"] = tables["postings"].repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    save_tables(tables, path)
+
+
+def read_index(spark: SparkSession, path: str):
+    from ..operators.retrieval import Index
+
+    return Index(**read_tables(spark, path, Index._fields))
+
+
+def write_idf(index, path: str) -> None:
+    """(term, df, idf) as one JSON object on each line."""
+    write_json(index.vocabulary.join(index.idf, "term").select("term", "df", "idf"), path)
+
+
+def write_graph(edges: DataFrame, stats: DataFrame, path: str) -> None:
+    """Edges (src, dst, weight) by source, and the graph's one row of statistics."""
+    save_tables({"edges": edges.repartitionByRange("src").sortWithinPartitions("src"), "metadata": stats}, path)
+
+
+def read_graph(spark: SparkSession, path: str, vectors: str | None = None) -> tuple[DataFrame, ...]:
+    """(edges, metadata) of a graph, and the node vectors (id, emotion, topic) if their place is given."""
+    out = tuple(read_tables(spark, path, ("edges", "metadata")).values())
+    return (*out, spark.read.parquet(vectors)) if vectors else out
+
+
+def write_clusters(path: str, *, scan: DataFrame, assigned: DataFrame, sizes: DataFrame, terms: DataFrame, merged: DataFrame) -> None:
+    """The artefacts of a k-means run: scan and keywords as TSV, summary of sizes and merge map as JSON, assignments by line."""
+    write_tsv(scan, f"{path}/scan")
+    write_tsv(terms.withColumn("term", tsv_safe(F.col("term"))), f"{path}/keywords")
+    write_json(sizes, f"{path}/sizes")
+    write_json(merged, f"{path}/merged")
+    write_json(assigned, f"{path}/assignments")
 
 
-def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tuple(spark.read.parquet(f"{path}/{x}") for x in ("weights", "vocabulary", "stats"))
+def write_expansion_reports(reports: dict[str, DataFrame], path: str) -> None:
+    """Each report of an expansion as a TSV of its own."""
+    for name, rows in reports.items():
+        write_tsv(rows, f"{path}/{name}")

@@ -277,15 +277,16 @@ def test_sources(spark, tmp_path):
 
 def test_index_and_stream(spark, tmp_path):
     docs = spark.createDataFrame([(1, ["a", "b"]), (2, ["b", "c"])], "doc_id long, tokens array<string>")
-    S.write_index(R.doc_weights(docs), R.vocabulary(docs, min_df=1, max_df_ratio=1.0), R.length_stats(docs), str(tmp_path / "index"))
-    weights, vocabulary, stats = S.read_index(spark, str(tmp_path / "index"))
-    assert (weights.count(), vocabulary.count(), stats.first().n_docs) == (4, 3, 2)
+    S.save_index(R.build_index(docs), str(tmp_path / "index"))
+    index = S.read_index(spark, str(tmp_path / "index"))
+    assert (index.postings.count(), index.vocabulary.count(), index.metadata.first().n_docs, index.documents.count()) == (4, 3, 2, 2)
+    assert {(r.term, r.df) for r in R.build_index(docs, existing=spark.createDataFrame([("b",), ("z",)], "term string")).vocabulary.collect()} == {("b", 2), ("z", 0)}
     from resonant.streaming.scorer import score_stream
 
     spark.createDataFrame([(5, ["a"])], "query_id long, tokens array<string>").write.parquet(str(tmp_path / "q"))
     got = []
     stream = spark.readStream.schema("query_id long, tokens array<string>").parquet(str(tmp_path / "q"))
-    query = score_stream(stream, docs, lambda df, n: got.extend(df.collect()), checkpoint=str(tmp_path / "c"))
+    query = score_stream(stream, str(tmp_path / "index"), lambda df, n: got.extend(df.collect()), checkpoint=str(tmp_path / "c"))
     query.processAllAvailable()
     query.stop()
     assert [(r.query_id, r.doc_id) for r in got] == [(5, 1)]
