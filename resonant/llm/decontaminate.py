@@ -11,21 +11,27 @@ Defined results. Null or wordless texts have no words (n_words 0, not contaminat
 words or with a null id are no items; items that share an id are one; repeated document rows each
 get their row; extra columns are ignored; with no items every document is clean.
 
-The items are taken in blocks of at most `block_bytes` of text, so what is broadcast has a fixed
-bound whatever the size of the benchmark; a document's results from several blocks are merged.
+A benchmark of at most `block_bytes` of text is held by every task, and documents are read twice: once to
+count shingles, once to match. A larger one is joined by shuffle (see `_scan_by_shuffle`), with one scan of the
+documents whatever its size. Both give the same rows. Texts of any length are read whole, one at a time if long.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
+from .spark_io import written
 
 WINDOW, SHINGLE = 13, 4
+#: Parts into which the rows of one window are dealt.
+SALT = 16
 _TABLE_BITS = 20
 
 
@@ -194,27 +200,144 @@ def scan(documents: DataFrame, benchmark: DataFrame, *, doc_id: str = "doc_id",
     schema_id = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     items = benchmark.select(F.col(item_id).alias("id"), F.col(item_text).cast("string").alias("text")).where("id is not null and text is not null")
-    blocks = -(-(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes)
-    parts = []
-    spark = documents.sparkSession
-    for b in range(max(blocks, 1)):
-        own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == b) if blocks > 1 else items
-        block = Block([tuple(r) for r in own.collect()], window, shingle)
-        counts = {k: np.zeros(len(d), np.int64) for k, d in block.distinct.items()}
-        if block.windows:
-            for k, i, c in docs.select("text").mapInArrow(_count(block, "text"), "k int, i long, c long").groupBy("k", "i").agg(F.sum("c")).collect():
-                counts[k][i] = c
-        block.anchor(counts)
-        source = docs if blocks <= 1 else docs.withColumn("row", F.monotonically_increasing_id())
-        row = "" if blocks <= 1 else ", row long"
-        parts.append(source.select(*(["doc_id", "row", "text"] if row else ["doc_id", "text"])).mapInArrow(_scan(block, "text"), f"doc_id {schema_id}{row}, n_words long, spans array<struct<s:long,e:long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    both = parts[0]
-    for p in parts[1:]:
-        both = both.unionByName(p)
-    merged = both.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.drop("row")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > block_bytes:
+        return _scan_by_shuffle(docs, schema_id, items, size, window, shingle)
+    block = Block([tuple(r) for r in items.collect()], window, shingle)
+    counts = {k: np.zeros(len(d), np.int64) for k, d in block.distinct.items()}
+    if block.windows:
+        for k, i, c in docs.select("text").mapInArrow(_count(block, "text"), "k int, i long, c long").groupBy("k", "i").agg(F.sum("c")).collect():
+            counts[k][i] = c
+    block.anchor(counts)
+    return docs.mapInArrow(_scan(block, "text"), f"doc_id {schema_id}, n_words long, spans {_SPANS}, items array<string>")
+
+
+# A benchmark that is too large for every task to hold.
+
+_MOST_BITS = 27
+
+
+def _slots(hashes: np.ndarray, n: int, bits: int) -> np.ndarray:
+    """Places in the bit table of shingles of windows of n words."""
+    return (W.mix(hashes + W.U(n * 0x9E3779B97F4A7C15 & ((1 << 64) - 1))) & W.U((1 << bits) - 1)).astype(np.int64)
+
+
+def _windows(window: int):
+    """(w, n, item) of every window of every item: the digest of its words, how many they are, and the item."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            items = batch.column("id").to_pylist()
+            for a, _, data, off in W.chunks(batch.column("text")):
+                x = W.cut(data, off, W.ALNUM)
+                rows = []
+                for d in range(len(x.first) - 1):
+                    s, e = int(x.first[d]), int(x.first[d + 1])
+                    n = min(window, e - s)
+                    rows += [(_digest(x, i, n), n, _grams(x, i, n), str(items[a + d])) for i in range(s, e - n + 1 if n else s)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows) if rows else [()] * 4, [pa.binary(), pa.int64(), pa.list_(pa.int64()), pa.string()])], ["w", "n", "grams", "item"])
+
+    return run
+
+
+def _digest(x: W.Words, at: int, n: int) -> bytes:
+    """Of the words of a window, 128 bits."""
+    return hashlib.blake2b(b" ".join(x.data[s:e].tobytes() for s, e in zip(x.start[at : at + n].tolist(), x.end[at : at + n].tolist())), digest_size=16).digest()
+
+
+def _grams(x: W.Words, at: int, n: int) -> np.ndarray:
+    return W.shingle_hashes(x.hash[at : at + n], min(n, SHINGLE)).view(np.int64)
+
+
+def _bit_rows(bits: int):
+    """The packed bit table of a task's shingles, in slices of 64 KB."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << bits, bool)
+        for batch in batches:
+            grams = batch.column("grams")
+            of = np.repeat(np.array(batch.column("n"), np.int64), np.diff(np.array(grams.offsets)))
+            flat = np.array(grams.flatten(), np.int64).view(np.uint64)
+            for n in np.unique(of):
+                table[_slots(flat[of == n], int(n), bits)] = True
+        packed = np.packbits(table).reshape(-1, min(1 << 16, 1 << (bits - 3)))
+        own = np.flatnonzero(packed.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(own, pa.int64()), pa.array([packed[i].tobytes() for i in own], pa.binary())], ["slice", "bits"])
+
+    return run
+
+
+def _or(t: pa.Table) -> pa.Table:
+    rows = [np.frombuffer(x.as_py(), np.uint8) for x in t.column("bits")]
+    return pa.table({"slice": t.column("slice").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
+
+
+_SPANS = "array<struct<s:long,e:long>>"
+
+
+def _candidates(shared, sizes: list[int], bits: int):
+    """Per row its words, and the windows all of whose shingles are in the bit table: (first word, size, digest, shingles)."""
+    kind = pa.list_(pa.struct([("s", pa.int64()), ("n", pa.int64()), ("w", pa.binary()), ("grams", pa.list_(pa.int64()))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        packed = np.frombuffer(shared.value, np.uint8)
+        row = TaskContext.get().partitionId() << 33
+        for batch in batches:
+            n_words, found = np.zeros(batch.num_rows, np.int64), [[] for _ in range(batch.num_rows)]
+            for a, b, data, off in W.chunks(batch.column("text")):
+                x = W.cut(data, off, W.ALNUM)
+                n_words[a:b] = np.diff(x.first)
+                for n in sizes:
+                    k = min(n, SHINGLE)
+                    at = _slots(W.shingle_hashes(x.hash, k), n, bits)
+                    there = np.concatenate([[0], np.cumsum(packed[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1, dtype=np.int64)])
+                    m = n - k + 1
+                    first = np.flatnonzero(there[m:] - there[:-m] == m) if len(there) > m else np.zeros(0, np.int64)
+                    d = np.searchsorted(x.first, first, "right") - 1
+                    ok = first + n <= x.first[d + 1]
+                    for i, doc in zip(first[ok].tolist(), d[ok].tolist()):
+                        found[a + doc].append({"s": i - int(x.first[doc]), "n": n, "w": _digest(x, i, n), "grams": _grams(x, i, n)})
+            yield pa.RecordBatch.from_arrays([pa.array(row + np.arange(batch.num_rows)), batch.column("doc_id"), pa.array(n_words), pa.array(found, kind)], ["row", "doc_id", "n_words", "found"])
+            row += batch.num_rows
+
+    return run
+
+
+def _scan_by_shuffle(docs: DataFrame, schema_id: str, items: DataFrame, size: int, window: int, shingle: int) -> DataFrame:
+    """The same for a benchmark of any size, in one scan of the documents.
+
+    What every task gets is a bit table of fixed size that has the shingles of all windows. Windows of documents all of whose
+    shingles are in it are written, with the row's key, and nothing else of the texts. Their distinct ones, however often they
+    occur, are counted by shingle; each benchmark window is joined by its rarest one, at the same place (the positional bound)
+    in a window of the same size (the length bound), and compared by a 128-bit digest of its words. The rows of a
+    window that many documents share are dealt by salt.
+    """
+    if shingle != SHINGLE:
+        raise ValueError(f"a large benchmark needs shingles of {SHINGLE} words")
+    spark = docs.sparkSession
+    windows = items.mapInArrow(_windows(window), "w binary, n long, grams array<long>, item string")
+    own = written(windows.groupBy("w", "n").agg(F.first("grams").alias("grams"), F.array_sort(F.collect_set("item")).alias("items")), "windows")
+    sizes = sorted(r["n"] for r in own.select("n").distinct().collect())  # at most `window` of them
+    bits = min(_MOST_BITS, max(19, (4 * size).bit_length()))
+    slices = own.select("n", "grams").mapInArrow(_bit_rows(bits), "slice long, bits binary").groupBy("slice").applyInArrow(_or, "slice long, bits binary").collect()
+    table, width = np.zeros(1 << (bits - 3), np.uint8), min(1 << 16, 1 << (bits - 3))
+    for r in slices:
+        table[r["slice"] * width : (r["slice"] + 1) * width] = np.frombuffer(r["bits"], np.uint8)
+    shared = spark.sparkContext.broadcast(table.tobytes())
+    rows = written(docs.select("doc_id", "text").mapInArrow(_candidates(shared, sizes, bits), f"row long, doc_id {schema_id}, n_words long, found array<struct<s:long,n:long,w:binary,grams:array<long>>>"), "rows")
+
+    hits = rows.select("row", F.explode("found").alias("f")).select("row", "f.s", "f.n", "f.w", "f.grams")
+    distinct = written(hits.groupBy("w", "n").agg(F.first("grams").alias("grams"), F.count("*").alias("c")), "distinct")
+    rarity = distinct.select("n", "c", F.explode("grams").alias("gram")).groupBy("n", "gram").agg(F.sum("c").alias("often"))
+    listed = own.select("w", "n", F.posexplode("grams").alias("o", "gram")).join(rarity, ["n", "gram"])  # windows with a shingle that no document has are gone
+    whole = listed.groupBy("w", "n").agg(F.min(F.struct("often", "gram", "o")).alias("a"), F.count("*").alias("k")).where(F.col("k") == F.col("n") - F.least(F.col("n"), F.lit(SHINGLE)) + 1)
+    anchors = whole.select(F.col("w").alias("v"), "n", "a.gram", "a.o")
+    matched = distinct.select("w", "n", F.posexplode("grams").alias("o", "gram")).join(anchors, ["n", "gram", "o"]).where("w = v").select("w", "n")
+    known = matched.join(own.select("w", "n", "items"), ["w", "n"]).select("w", "n", "items", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))).alias("salt"))
+    found = hits.select("row", "s", "n", "w", F.pmod(F.xxhash64("row"), F.lit(SALT)).cast("int").alias("salt")).join(known, ["w", "n", "salt"])
+    merged = found.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
+    out = rows.select("row", "doc_id", "n_words").join(merged, "row", "left")
+    return out.select("doc_id", "n_words", F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"), F.coalesce("items", F.array().cast("array<string>")).alias("items"))
 
 
 def _span_words() -> F.Column:
