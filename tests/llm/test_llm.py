@@ -580,6 +580,15 @@ def test_toxicity_by_hand(spark):
     assert np.count_nonzero(few) < np.count_nonzero(table)
 
 
+def test_toxicity_odd_rows(spark, documents):
+    """Null, empty, long and repeated texts with labels of both classes."""
+    ids = [r.doc_id for r in documents.where("doc_id is not null").select("doc_id").distinct().orderBy("doc_id").collect()]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    out = toxicity.report(documents, labels).collect()
+    assert len(out) == documents.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in out)
+    assert toxicity.report(documents.limit(0), labels).count() == 0
+
+
 def test_toxicity_counts_beyond_a_byte():
     import pyarrow as pa
 
@@ -631,24 +640,75 @@ def test_queries_registered():
     assert "pipeline" in entry.queries() and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
 
 
-def test_pipeline(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    alive = {r.doc_id for r in quality.report(docs).where("kept").collect()}
-    texts = [(r.doc_id, r.text) for r in docs.collect() if r.doc_id in alive]
-    alive = {c for _, _, c in linked(sets_of(texts))}
-    dirty = {r.doc_id for r in decontaminate.decontaminate(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).where("n_hit > 0").collect()}
-    got = corpus_pipeline.run(spark, SF)
-    assert {r.doc_id for r in got.collect()} == alive - dirty
-    texts = dict(texts)
-    for r in bpe.decode(got).collect():
-        assert r.text == _masked(texts[r.doc_id])
-    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "benchmark_decontamination", "secret_scans", "bpe_encoding"]
-
-
 def _masked(text):
+    """Every span of a finding replaced by a mark, from the rules alone."""
+    held = spans(text) + [(m.start(), 9, m.end()) for rule in (secrets.PEM, secrets.JWT, secrets.GITHUB) for m in rule.finditer(text)]
     out, at = "", 0
-    for s, _, e in secrets.find(text):
+    for s, _, e in sorted(held, key=lambda x: (x[0], x[1])):
         if s >= at:
             out += text[at:s] + "[SECRET]"
         at = max(at, e)
     return out + text[at:]
+
+
+def _windows_of(texts):
+    out = set()
+    for t in texts:
+        w = ALNUM.findall((t or "").translate(LOWER))
+        n = min(13, len(w))
+        out |= {tuple(w[k : k + n]) for k in range(len(w) - n + 1 if n else 0)}
+    return out
+
+
+def test_pipeline(spark, tmp_path):
+    """All stages against DuckDB, pairwise sets, item windows, the rules and the tokenizers library, with odd rows and clashing columns."""
+    import duckdb
+    from resonant.llm import sql
+    from tokenizers import Tokenizer
+
+    known = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    plain = [f"the word{i * 7919 % 5003} of and to a in{i % 97} is that" for i in range(3000)]
+    long = ". ".join(plain) * 3
+    clean = " ".join(plain[:40])
+    odd = [
+        (10**6, None), (10**6 + 1, ""), (10**6 + 2, " \n"), (10**6 + 3, clean), (10**6 + 3, clean), (10**6 + 4, clean + " more"), (10**6 + 5, ". ".join(plain)),
+        (10**6 + 6, ". ".join(x + f" {i}" for i, x in enumerate(plain)) + " " + items[0] + " the end of it"), (10**6 + 7, " ".join(plain[100:150]) + " password: hunter2222 AKIA" + "B2" * 10 + " ghp_" + "Z1" * 18), (10**6 + 8, long),
+    ]
+    rows = known + odd
+    extra = ("ids", "n_tokens", "findings", "row", "items", "cls", "blob", "_row", "_text", "spans")
+    table = spark.createDataFrame([(i, t, "en", "odd", len(t or ""), *(["x"] * len(extra))) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra))
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    judged = Counter((i, kept) for i, kept in con.execute(f"SELECT doc_id, kept FROM ({sql.OP8})").fetchall())
+    alive = [(i, t) for i, t in rows if judged[i, True]]
+    one = {}
+    for (i, t), (_, n, c) in zip(alive, linked(sets_of(alive))):
+        if i == c or not n:
+            one[i] = t
+    windows = _windows_of(items)
+    clean = {}
+    for i, t in one.items():
+        w = ALNUM.findall(t.translate(LOWER))
+        if not any(tuple(w[k : k + n]) in windows for n in {len(x) for x in windows} for k in range(len(w) - n + 1)):
+            clean[i] = _masked(t)
+    assert {10**6 + 3, 10**6 + 7} <= clean.keys() and not {10**6, 10**6 + 1, 10**6 + 6} & clean.keys() and len(one) > len(clean) > 50
+    tokenizer = Tokenizer.from_file(vocabulary.default_path())
+    want = []
+    for i, t in clean.items():
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want.append((i, len(ids), sha(",".join(map(str, ids))), sha(tokenizer.decode(ids, skip_special_tokens=False)), len(t)))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted((r.doc_id, r.n_tokens, sha(",".join(map(str, r.ids))), r.decoded_sha256, r.n_chars) for r in got.collect()) == sorted(want)
+    assert [name for name, _ in corpus_pipeline.STAGES] == ["quality_rules", "jaccard_join", "benchmark_decontamination", "secret_scans", "bpe_encoding"]
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, table.limit(0), str(tmp_path)).columns == table.columns
+
+
+def test_pipeline_without_rows(spark, tmp_path):
+    spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{SF}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
