@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -15,8 +13,7 @@ from ..sources.tables import spread_table as table
 from . import retrieval as PR, vectors as PV
 
 
-def _folder(s: SparkSession, name: str) -> str:
-    return f"{S.shared_dir(s)}/{name}-{uuid.uuid4().hex}"
+_folder = S.new_place
 
 
 def _docs(s, d):

@@ -33,10 +33,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+#: What this process has put into the shared folder.
+_PLACES: list[str] = []
+
+
+def new_place(spark: SparkSession, what: str) -> str:
+    """A path in the shared folder that nothing else uses; `clear_shared` deletes it."""
+    _PLACES.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _PLACES[-1]
+
+
+def clear_shared(spark: SparkSession) -> int:
+    """Delete everything that this process put into the shared folder, and say how many places that were.
+
+    Results are lazy and read these places, so this is for when all results are saved.
+    """
+    for place in _PLACES:
+        path = spark._jvm.org.apache.hadoop.fs.Path(place)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    n = len(_PLACES)
+    _PLACES.clear()
+    return n
+
+
 def written(df: DataFrame, what: str) -> DataFrame:
     """The table written to the shared folder and read back, so that its lineage ends there."""
     spark = df.sparkSession
-    path, schema = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}", df.schema
+    path, schema = new_place(spark, what), df.schema
     df.write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 

@@ -300,3 +300,32 @@ def test_reports(spark):
     assert sorted(map(tuple, reports.yearly_charts(weeks.withColumn("day", F.to_date("day"))).collect())) == [(2023, "Song", "A"), (2024, "Song", "A")]
     posts = spark.createDataFrame([(2, 4), (2, 2), (0, 3)], "n_clean int, n_expanded int")
     assert {r.bin: r.n for r in reports.ratio_histogram(posts, 2).collect()} == {1: 1, 2: 1}
+
+
+def test_shared_folder_is_cleared(spark):
+    table = S.written(spark.range(5), "some")
+    place = S._PLACES[-1]
+    assert table.count() == 5 and S.clear_shared(spark) >= 1
+    import os
+
+    assert not os.path.exists(place.removeprefix("file://"))
+
+
+def test_missing_dependencies_are_not_hidden(tmp_path):
+    """The entry works without the corpus subpackage, but not if something that this needs is missing."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "copy", ignore=shutil.ignore_patterns(".git", "__pycache__", "tests"))
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(len(e.queries()))"], cwd=tmp_path / "copy", capture_output=True, text=True)
+    if os.path.exists(tmp_path / "copy/resonant/llm/words.py"):
+        whole = run()
+        os.remove(tmp_path / "copy/resonant/llm/words.py")
+        assert whole.returncode == 0 and run().returncode != 0
+    shutil.rmtree(tmp_path / "copy/resonant/llm", ignore_errors=True)
+    if os.path.exists(tmp_path / "copy/corpus_pipeline.py"):
+        os.remove(tmp_path / "copy/corpus_pipeline.py")
+    assert run().returncode == 0
