@@ -23,7 +23,6 @@ an empty text in the fold.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from . import words as W
 from .packed import find, large, narrow, pack, put, small, summed, unpack, view
-from .spark_io import shared_dir
+from .spark_io import new_place
 from .toxicity import fold
 
 U = np.uint64
@@ -269,7 +268,7 @@ def train(texts: DataFrame) -> Model:
     """Count a model over the column `text`."""
     spark = texts.sparkSession
     m = Model()
-    m.folder = f"{shared_dir(spark)}/lm-{uuid.uuid4().hex}"
+    m.folder = new_place(spark, "lm")
     parts = max(1, texts.select("text").rdd.getNumPartitions())
     m.log_words = max(3, (parts - 1).bit_length() - 1)
     folder = m.folder
