@@ -29,12 +29,12 @@ import regex
 from pyspark.sql import DataFrame, functions as F
 
 from .vocabulary import SPLIT, Store, Vocabulary, common, default_path, stretches
-from .words import chunks
+from .words import chunks, tidied
 
 #: Entries of each of a worker's stores, which are emptied after every task.
-CACHE = 400_000
+CACHE = 200_000
 #: Characters of text whose distinct pre-tokens are encoded together, and ids that are decoded at once.
-BATCH = 1 << 21
+BATCH, IDS = 1 << 19, 1 << 17
 _LAST = 1 << 60
 
 
@@ -46,7 +46,7 @@ class Coder(Vocabulary):
         self.rank: dict[int, int] = dict.fromkeys(self.bytes_of, -1)
         self.parts: dict[int, tuple[int, int]] = {}
         self.merge: dict[tuple[int, int], int] = {}
-        for r, pair in enumerate(self.spec["model"]["merges"]):
+        for r, pair in enumerate(self.spec.pop("model")["merges"]):
             a, b = (self.id_of[self.raw(x)] for x in (pair.split(" ") if isinstance(pair, str) else pair))
             whole = self.id_of[self.bytes_of[a] + self.bytes_of[b]]
             self.merge[a, b] = r
@@ -165,8 +165,8 @@ class Coder(Vocabulary):
         if len(ids) and (ids.min() < 0 or ids.max() >= len(self.is_token) or not self.is_token[ids].all()):
             raise ValueError("an id is not in the vocabulary")
         out = []
-        for a in range(0, len(ids), BATCH):
-            own = ids[a : a + BATCH]
+        for a in range(0, len(ids), IDS):
+            own = ids[a : a + IDS]
             size = self.token_length[own]
             at = np.repeat(self.token_start[own] - np.cumsum(size) + size, size)
             out.append(self.token_bytes[at + np.arange(len(at))].tobytes())
@@ -206,7 +206,7 @@ def encode(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([*rest, pa.array(map(parsed, c.batches(batch.column("text").to_pylist())), pa.list_(pa.int32()))], [*names, "ids"])
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", path: str | None = None) -> DataFrame:
@@ -220,7 +220,7 @@ def decode(encoded: DataFrame, *, doc_id: str = "doc_id", ids: str = "ids", path
             yield pa.RecordBatch.from_arrays([*rest, pa.array((c.decode(x.as_py() or ()) for x in batch.column("ids")), pa.string())], [*names, "text"])
 
     kind = encoded.schema[doc_id].dataType.simpleString()
-    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(run, f"doc_id {kind}, text string")
+    return encoded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids")).mapInArrow(tidied(run), f"doc_id {kind}, text string")
 
 
 def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
@@ -241,7 +241,7 @@ def report(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
         c.forget()
 
     kind = documents.schema[doc_id].dataType.simpleString()
-    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(tidied(run), f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None = None) -> DataFrame:
@@ -265,4 +265,4 @@ def pack_documents(documents: DataFrame, *, text: str = "text", path: str | None
 
     source = documents.select(F.struct(*kept).alias("_row"), F.col(text).cast("string").alias("_text"))
     kind = source.schema["_row"].dataType.simpleString()
-    return source.mapInArrow(run, f"_row {kind}, ids array<int>, n_tokens long, decoded_sha256 string").select("_row.*", "ids", "n_tokens", "decoded_sha256")
+    return source.mapInArrow(tidied(run), f"_row {kind}, ids array<int>, n_tokens long, decoded_sha256 string").select("_row.*", "ids", "n_tokens", "decoded_sha256")
