@@ -1,4 +1,4 @@
-"""Connected components of an edge table, and joins that hot keys can't hold up; distributed and restartable."""
+"""Connected components of an edge table, distributed and restartable."""
 
 from __future__ import annotations
 
@@ -6,66 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from .spark_io import written
 
-#: A key is hot if it has a thousandth of all rows or more; there are at most a thousand of these, so they may be broadcast.
-HOT = 1_000
-#: Parts into which the rows of one root are dealt.
-SALT = 16
+#: Steps between two tables written to the shared folder.
+STEPS = 2
 
 
-def is_hot(rows, total):
-    """Whether a key with so many rows of a total is hot."""
-    return (rows * HOT >= total).alias("hot")
-
-
-def attach(rows: DataFrame, values: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
-    """rows joined (inner or left) with values, which have one row for each key and a column `hot`.
-
-    The rows of hot keys stay where they are and get the broadcast value, so they never meet in one task.
-    """
-    own = [c for c in values.columns if c not in (*key, "hot")]
-    few = values.where("hot").select(*key, F.struct(*own).alias("_few"))
-    seen = rows.join(F.broadcast(few), key, "left")
-    hot = seen.where("_few is not null").select(*rows.columns, *(F.col("_few").getField(c).alias(c) for c in own))
-    others = seen.where("_few is null").select(*rows.columns).join(values.where("not hot").drop("hot"), key, how)
-    return hot.unionByName(others.select(*hot.columns))
-
-
-def _parts(name: str = "salt") -> F.Column:
-    return F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias(name)
-
-
-def _step(labels: DataFrame, edges: DataFrame) -> DataFrame:
+def _step(labels: DataFrame, both: DataFrame) -> DataFrame:
     """The smallest label among a node and its neighbours, then that label's own label."""
-    near = labels.select(F.col("node").alias("b"), F.col("root").alias("near"), _parts())
-    around = edges.join(near, ["b", "salt"]).groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
-    moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"), "parts")
-    # the labels of distinct roots, once for every part of the rows that have the root
-    after = moved.select("root").distinct().join(labels.select(F.col("node").alias("root"), F.col("root").alias("next")), "root")
-    after = after.select("root", "next", F.lit(SALT).alias("parts")).select("root", "next", _parts())
-    salted = moved.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALT)).cast("int"))
-    return salted.join(after, ["root", "salt"]).select("node", F.least("root", "next").alias("root"), "parts")
+    around = both.join(labels.select(F.col("node").alias("b"), F.col("root").alias("near")), "b").groupBy(F.col("a").alias("node")).agg(F.min("near").alias("near"))
+    moved = labels.join(around, "node").select("node", F.least("root", "near").alias("root"))
+    own = labels.select(F.col("node").alias("root"), F.col("root").alias("next"))
+    return moved.join(own, "root").select("node", F.least("root", "next").alias("root"))
 
 
-def components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of edges (a, b); the root is the component's smallest node.
 
     Labels spread to neighbours and jump to their own labels, so the rounds grow with the logarithm
-    of the longest path; more than `rounds` of them, which no path of less than 2 ** 100 nodes needs, is an error. Every
-    round is written to the shared folder. The edges to one hot node are dealt to SALT tasks, each of which gets the
-    node's label, and so are the rows that have one root.
+    of the longest path; more than `rounds` of them raise an error. Every round is written to the shared folder.
+    The joins are by node and by label, so the edges of a hub and the rows of a large component meet by one key, which
+    adaptive execution splits where it sees the skew.
     """
     edges = edges.where("a != b")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    total = F.lit(both.count())
-    hot = both.groupBy("b").agg(F.count("*").alias("n")).where(is_hot(F.col("n"), total)).select("b", F.lit(True).alias("hot"))
-    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("a"), F.lit(SALT)).cast("int")).otherwise(0)
-    salted = written(both.join(F.broadcast(hot), "b", "left").select("a", "b", salt.alias("salt")), "salted")
-    # every edge is there both ways, so a node has as many rows on either side
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"), F.when(is_hot(F.count("*"), total), SALT).otherwise(1).alias("parts"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
     for _ in range(rounds):
-        moved = _step(labels, salted)
+        moved = labels
+        for _ in range(STEPS):
+            moved = _step(moved, both)
         done = written(moved.join(labels.select("node", F.col("root").alias("old")), "node"), "labels")
-        labels = done.select("node", "root", "parts")
+        labels = done.select("node", "root")
         if done.where("old != root").isEmpty():
-            return labels.select("node", "root")
+            return labels
     raise RuntimeError(f"components did not settle in {rounds} rounds")
