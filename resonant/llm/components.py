@@ -23,12 +23,13 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
 
     Labels spread to neighbours and jump to their own labels, so the rounds grow with the logarithm
     of the longest path; more than `rounds` of them raise an error. Every round is written to the shared folder.
-    The joins are by node and by label, so the edges of a hub and the rows of a large component meet by one key, which
-    adaptive execution splits where it sees the skew.
+    The joins are by node and by label, so the edges of a hub and the rows of a large component have one key. Adaptive
+    execution splits these, which it does only between sides that come straight from a shuffle: so the first labels,
+    an aggregate, are written before they are joined.
     """
     edges = edges.where("a != b")
     both = written(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root"))
+    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
     for _ in range(rounds):
         moved = labels
         for _ in range(STEPS):

@@ -294,14 +294,15 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     left = written(left.groupBy("cls").agg(*(F.first(c).alias(c) for c in ("n", "s", "keys", "prefix"))), "candidates")
 
     met = left.select("cls", F.explode("prefix").alias("key"))
-    stars = met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b")
+    # the small sides of joins by a key that many rows may have are written, so that adaptive execution can split these rows
+    stars = written(met.groupBy("key").agg(F.min("cls").alias("b"), F.count("*").alias("c")).where("c > 1").select("key", "b"), "stars")
     groups = components(met.join(stars, "key").select(F.col("cls").alias("a"), "b"))
     copies = rows.where("cls is not null").groupBy("cls").agg(F.count("*").alias("copies"))
     grouped = left.select("cls", "n", "s", "keys").join(groups.select(F.col("node").alias("cls"), F.col("root").alias("group")), "cls").join(copies, "cls")
     links = written(_tiled(grouped).groupBy("group", "band", "kind", "x", "y").applyInArrow(W.tidied(_tile(percent)), "a binary, b binary, links long"), "links")
     roots = components(links).select(F.col("node").alias("cls"), "root")
     others = links.groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
-    known = roots.join(others, "cls").join(copies.where("copies > 1"), "cls", "full")
+    known = written(roots.join(others, "cls").join(copies.where("copies > 1"), "cls", "full"), "known")
 
     alone = F.concat(F.lit("alone "), F.coalesce(F.to_json(F.struct("doc_id")), F.lit(""))).cast("binary")
     n_links = (F.coalesce("copies", F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).cast("long")
