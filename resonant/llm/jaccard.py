@@ -256,30 +256,34 @@ def _tile(percent: int):
 
 
 def _tiled(groups: DataFrame) -> DataFrame:
-    """Rows of (group, cls, n, copies, keys, side), each once for every tile (group, band, kind, x, y) that it is in."""
-    counts = groups.groupBy("group").agg(F.count("*").alias("sets"), F.sum("s").alias("total"))
-    sized = groups.join(counts, "group")
-    fits = (F.col("sets") <= TILE_SETS) & (F.col("total") <= TILE_KEYS)
-    columns = ["group", "cls", "n", "copies", "keys", "band", "kind", "x", "y", "side"]
-    zero = F.lit(0).cast("long")
-    few = sized.where(fits).select(*columns[:5], *(zero.alias(c) for c in columns[5:]))
+    """Rows of (group, cls, n, copies, keys, side), each once for every tile (group, band, kind, x, y) that it is in.
+
+    The sizes of a group and the pieces of its bands are one row, since bands grow with the logarithm of a set's size;
+    they are written, so that a group's rows can be split at the join. What it gives is dealt by tile, not by group.
+    """
     # bands a little wider than the size ratio of linked sets, so that rounding can't part them by two
     step = -math.log((PERCENT - 0.1) / 100)
-    many = sized.where(~fits).withColumn("band", F.floor(F.log(F.col("n").cast("double")) / step))
-    pieces = many.groupBy("group", "band").agg(F.greatest(F.ceil(F.sum("s") * 2 / TILE_KEYS), F.ceil(F.count("*") * 2 / TILE_SETS)).cast("long").alias("p"))
-    other = lambda by, name: pieces.select("group", (F.col("band") - by).alias("band"), F.col("p").alias(name))
-    many = many.join(pieces, ["group", "band"]).join(other(1, "above"), ["group", "band"], "left").join(other(-1, "below"), ["group", "band"], "left")
-    mine = F.pmod(F.xxhash64("cls"), "p")
+    banded = groups.withColumn("own", F.floor(F.log(F.col("n").cast("double")) / step))
+    bands = banded.groupBy("group", "own").agg(F.count("*").alias("sets"), F.sum("s").alias("total"))
+    piece = F.struct("own", F.greatest(F.ceil(F.col("total") * 2 / TILE_KEYS), F.ceil(F.col("sets") * 2 / TILE_SETS)).cast("long").alias("p"))
+    counts = bands.groupBy("group").agg(F.sum("sets").alias("sets"), F.sum("total").alias("total"), F.map_from_entries(F.collect_list(piece)).alias("pieces"))
+    sized = banded.join(written(counts, "groups"), "group")
+    fits = (F.col("sets") <= TILE_SETS) & (F.col("total") <= TILE_KEYS)
+    zero = F.lit(0).cast("long")
+    pieces = lambda by: F.try_element_at("pieces", F.col("own") + by)
+    mine = F.pmod(F.xxhash64("cls"), pieces(0))
     spot = lambda band, kind, x, y, side: F.struct(band.cast("long").alias("band"), F.lit(kind).cast("long").alias("kind"), x.cast("long").alias("x"), y.cast("long").alias("y"), side.cast("long").alias("side"))
     upto = lambda n: F.sequence(zero, n - 1)
     none = F.array().cast("array<struct<band:bigint,kind:bigint,x:bigint,y:bigint,side:bigint>>")
     spots = F.concat(
-        F.transform(upto(F.col("p")), lambda y: spot(F.col("band"), 1, F.least("mine", y), F.greatest("mine", y), F.col("mine") > y)),
-        F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda y: spot(F.col("band"), 2, F.col("mine"), y, F.lit(0)))).otherwise(none),
-        F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda y: spot(F.col("band") - 1, 2, y, F.col("mine"), F.lit(1)))).otherwise(none),
+        F.transform(upto(F.col("p")), lambda y: spot(F.col("own"), 1, F.least("mine", y), F.greatest("mine", y), F.col("mine") > y)),
+        F.when(F.col("above").isNotNull(), F.transform(upto(F.col("above")), lambda y: spot(F.col("own"), 2, F.col("mine"), y, F.lit(0)))).otherwise(none),
+        F.when(F.col("below").isNotNull(), F.transform(upto(F.col("below")), lambda y: spot(F.col("own") - 1, 2, y, F.col("mine"), F.lit(1)))).otherwise(none),
     )
-    many = many.withColumn("mine", mine).select(*columns[:5], F.explode(spots).alias("at")).select(*columns[:5], "at.*")
-    return few.unionByName(many)
+    placed = sized.withColumns({"p": pieces(0), "mine": mine, "above": pieces(1), "below": pieces(-1)})
+    at = F.explode(F.when(fits, F.array(spot(zero, 0, zero, zero, zero))).otherwise(spots)).alias("at")
+    tiled = placed.select("group", "cls", "n", "copies", "keys", at).select("group", "cls", "n", "copies", "keys", "at.*")
+    return tiled.repartition("group", "band", "kind", "x", "y")
 
 
 def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
