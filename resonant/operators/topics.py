@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans, KMeansModel
-from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from ..functions import constants as C
 from ..sources.tables import written
+from . import kmeans
 from . import retrieval as R
 from . import vectors as V
 
@@ -160,16 +160,16 @@ def assign(model: KMeansModel, vectors: DataFrame) -> DataFrame:
 
 
 def scan_k(vectors: DataFrame, ks, *, seeds: int = 10, seed: int = 42, max_iter: int = 300) -> list[tuple[int, float, float]]:
-    """(k, cost, silhouette) for each k; the best is the first of the largest silhouette."""
-    rows = vectors.select("id", array_to_vector("vec").alias("features")).cache()
-    out = []
+    """(k, cost, silhouette) for each k by its best start, equal costs by the first; all fits share their passes over the vectors."""
+    rows = vectors.select("id", F.col("vec").cast("array<double>").alias("vec")).where("vec IS NOT NULL").cache()
     try:
-        for k in ks:
-            best = min((KMeans(k=k, seed=seed + i, maxIter=max_iter, featuresCol="features").fit(rows) for i in range(seeds)), key=lambda m: m.summary.trainingCost)
-            out.append((k, best.summary.trainingCost, ClusteringEvaluator(featuresCol="features", distanceMeasure="cosine").evaluate(best.transform(rows))))
+        best: dict[int, kmeans.Fit] = {}
+        for f in kmeans.fit_all(rows, ks, starts=seeds, seed=seed, max_iter=max_iter):
+            if f.k not in best or f.cost < best[f.k].cost:
+                best[f.k] = f
+        return [(f.k, f.cost, x) for f, x in zip(best.values(), kmeans.silhouettes(rows, list(best.values())))] if best else []
     finally:
         rows.unpersist()
-    return out
 
 
 def best_k(scan: list[tuple[int, float, float]]) -> int:

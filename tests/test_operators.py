@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 from difflib import SequenceMatcher
 from itertools import combinations
 
@@ -11,7 +12,7 @@ from pyspark.sql import Row, functions as F
 
 from resonant.functions import text as X
 from resonant.functions.stemming import stem
-from resonant.operators import dedup, emotion, expansion as Q, graph as G, learning as L, posts as P, reports, retrieval as R, topics as T, vectors as V
+from resonant.operators import dedup, emotion, expansion as Q, graph as G, kmeans, learning as L, posts as P, reports, retrieval as R, topics as T, vectors as V
 from resonant.plans import registry
 from resonant.sources import tables as S
 
@@ -230,6 +231,29 @@ def test_kmeans_settles(spark):
     assert T.silhouette(v, a, 3).first().silhouette > 0.9
 
 
+def test_kmeans_scan_against_library(spark):
+    """Costs against library fits of the same job, silhouettes against its evaluator, odd rows and none."""
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    rng = random.Random(5)
+    rows = [(i, [rng.gauss(3 * math.cos(i % 5), 0.3), rng.gauss(3 * math.sin(i % 5), 0.3), rng.gauss(0, 0.3)]) for i in range(300)]
+    v = spark.createDataFrame([*rows, *rows[:20], (999, None)], "id long, vec array<double>").repartition(4)
+    known = v.where("vec IS NOT NULL")
+    fits = kmeans.fit_all(known, (2, 5), starts=3)
+    best = {k: min((f for f in fits if f.k == k), key=lambda f: f.cost) for k in (2, 5)}
+    for k, cost, silhouette in T.scan_k(v, (2, 5), seeds=3):
+        library = T.fit_kmeans(known, k, seeds=3).summary.trainingCost
+        assert cost <= library * 1.001
+        assert cost == pytest.approx(best[k].cost)
+        place = [(r.id, r.vec, min(range(k), key=lambda c: (math.dist(r.vec, best[k].centers[c]), c))) for r in known.collect()]
+        assigned = spark.createDataFrame(place, "id long, vec array<double>, prediction int").withColumn("features", array_to_vector("vec"))
+        assert silhouette == pytest.approx(ClusteringEvaluator(distanceMeasure="cosine").evaluate(assigned), abs=1e-6)
+    assert T.scan_k(v.limit(0), (2, 3)) == []
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(9)], "id long, vec array<double>")
+    assert [(k, c, x) for k, c, x in T.scan_k(same, (2, 3), seeds=2)] == [(2, 0.0, 0.0), (3, 0.0, 0.0)]
+
+
 def test_kmeans_query_scans_all(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(T, "scan_k", lambda v, ks, **more: asked.append((list(ks), more)) or [(k, 1.0, float(k == 10)) for k in ks])
