@@ -22,10 +22,11 @@ class TextClassifier:
     """TF-IDF of words and word pairs, then logistic regression (C as in public libraries: penalty 1 / (C n)).
 
     features: the vocabulary's bound, by corpus frequency; as large a number as wanted keeps every term.
+    tol: L-BFGS stops at a gradient or an improvement of this share of the loss; 1e-4 is the usual tolerance of public libraries.
     """
 
-    def __init__(self, *, most: int = 2, min_df: int = 2, features: int = 50_000, c: float = 1.0, max_iter: int = 2000):
-        self.most, self.min_df, self.features, self.c, self.max_iter = most, min_df, features, c, max_iter
+    def __init__(self, *, most: int = 2, min_df: int = 2, features: int = 50_000, c: float = 1.0, max_iter: int = 2000, tol: float = 1e-4):
+        self.most, self.min_df, self.features, self.c, self.max_iter, self.tol = most, min_df, features, c, max_iter, tol
         self.words: CountVectorizerModel
         self.model: LogisticRegressionModel
 
@@ -41,7 +42,7 @@ class TextClassifier:
         self.words = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=self.min_df, vocabSize=self.features).fit(counted)
         self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(self.words.transform(counted))
         features = Normalizer(inputCol="_idf", outputCol="features").transform(self.idf.transform(self.words.transform(counted)))
-        self.model = LogisticRegression(family="multinomial", regParam=1 / (self.c * max(counted.count(), 1)), standardization=False, maxIter=self.max_iter).fit(features)
+        self.model = LogisticRegression(family="multinomial", regParam=1 / (self.c * max(counted.count(), 1)), standardization=False, maxIter=self.max_iter, tol=self.tol).fit(features)
         counted.unpersist()
         return self
 

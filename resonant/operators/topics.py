@@ -14,13 +14,13 @@ from . import vectors as V
 
 
 def ngrams(tokens: Column, most: int = 1) -> Column:
-    """Words, and runs of up to `most` words."""
+    """Words, and runs of up to `most` words. The words are bound once: an expression used inside a lambda would be evaluated for every word."""
 
-    def runs(n: int) -> Column:
-        found = F.transform(F.sequence(F.lit(1), F.size(tokens) - n + 1), lambda i: F.array_join(F.slice(tokens, i, n), " "))
-        return F.when(F.size(tokens) >= n, found).otherwise(F.array().cast("array<string>"))
+    def runs(words: Column, n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(1), F.size(words) - n + 1), lambda i: F.array_join(F.slice(words, i, n), " "))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<string>"))
 
-    return F.concat(tokens, *(runs(n) for n in range(2, most + 1)))
+    return F.element_at(F.transform(F.array(tokens), lambda words: F.concat(words, *(runs(words, n) for n in range(2, most + 1)))), 1)
 
 
 def tfidf(docs: DataFrame, *, min_df: int = 1, max_df_ratio: float = 1.0, max_features: int | None = None) -> DataFrame:
