@@ -171,6 +171,49 @@ def test_pagerank(spark):
     assert got == pytest.approx(r, abs=1e-12)
 
 
+@pytest.mark.parametrize("block", [7, 16384])
+def test_neighbours_of_many_copies(spark, block):
+    """Copies tie by the larger id, in parts of any size, and no rows are ranked by a window."""
+    df = spark.createDataFrame([(i, [1.0, 0.5] if i % 3 else [math.cos(i), math.sin(i)]) for i in range(90)], "id long, vec array<double>")
+    old, V.BLOCK = V.BLOCK, block
+    try:
+        top = V.neighbours(df, df, top=5)
+        got, pairs = top.collect(), V.neighbours(df, df, above=0.9999).collect()
+    finally:
+        V.BLOCK = old
+    assert "Window" not in top._jdf.queryExecution().toString()
+    copies = [i for i in range(90) if i % 3]
+    for i in (1, 88, 89):
+        assert sorted(r.dst for r in got if r.src == i) == [j for j in copies if j != i][-5:]
+    assert {(i, j) for i in copies for j in copies if i != j} <= {(r.src, r.dst) for r in pairs}
+    assert len(pairs) == len({(r.src, r.dst) for r in pairs})
+
+
+def test_walks_are_the_pagerank_of_the_teleport_vectors(spark):
+    """All queries' walks by nodes and edges match the general walk; no table of a row for each query and node is joined."""
+    part = lambda i, k: [math.sin(i * k + j) for j in range(4)]
+    nodes = spark.createDataFrame([(i, part(i, 1), [0.0] * 4 if i == 3 else part(i, 2)) for i in range(30)], "id long, emotion array<double>, topic array<double>")
+    queries = nodes.where("id % 4 = 0").selectExpr("id as query_id", "emotion as qe", "topic as qt")
+    edges = spark.createDataFrame([(i, (i * j + 1) % 30, 1.0 / j) for i in range(25) for j in range(1, 5)], "src long, dst long, weight double")
+    start = G.teleport(queries, nodes)
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / n if (n := math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))) else 0.0
+    rows = nodes.collect()
+    s = [0.6 * cos(rows[4].emotion, r.emotion) + 0.4 * cos(rows[4].topic, r.topic) for r in rows]
+    assert {r.id: r.v for r in start.where("query_id = 4").collect()} == pytest.approx({i: x / sum(s) if sum(s) > 0 else 1 / 30 for i, x in enumerate(s)}, abs=1e-12)
+    old, G.CELLS, G.PIECE = (G.CELLS, G.PIECE), 60, 10
+    try:
+        for how in ({"fixed": 3}, {"tol": 1e-4}):
+            want = {(r.query_id, r.id): r.score for r in G.pagerank(edges, start, **how).collect()}
+            walked = G.walks(edges, nodes, queries, **how)
+            assert "Join" not in walked._jdf.queryExecution().toString()
+            assert {(r.query_id, r.id): r.score for r in walked.collect()} == pytest.approx(want, abs=1e-12)
+            best = {(r.query_id, r.id) for r in G.walks(edges, nodes, queries, k=3, **how).collect()}
+            for q in range(0, 30, 4):
+                assert {i for p, i in best if p == q} == set(sorted(range(30), key=lambda i: (round(want[q, i], 9), i))[-3:])
+    finally:
+        G.CELLS, G.PIECE = old
+
+
 def test_merge_groups(spark):
     pairs = spark.createDataFrame([(0, 3, 0.6), (3, 5, 0.7), (1, 2, 0.58), (2, 4, 0.5)], "i int, j int, sim double")
     got = {r.old_id: r.new_id for r in T.merge_map(pairs, 6).collect()}
