@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel, IDF, Normalizer
+from pyspark.ml.feature import CountVectorizerModel, IDF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
-from . import vectors as V
+from . import retrieval as R, vectors as V
+from ..sources.tables import written
 from .topics import ngrams
 
 
@@ -38,12 +39,16 @@ class TextClassifier:
 
     def fit(self, rows: DataFrame) -> TextClassifier:
         """rows: (text, label)."""
-        counted = self._counted(rows).select("_terms", "label").cache()
-        self.words = CountVectorizer(inputCol="_terms", outputCol="_tf", minDF=self.min_df, vocabSize=self.features).fit(counted)
-        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(self.words.transform(counted))
-        features = Normalizer(inputCol="_idf", outputCol="features").transform(self.idf.transform(self.words.transform(counted)))
+        counts = self._counted(rows)
+        # each text is counted where it is read and terms by an aggregate that can spill; lists of terms are never kept
+        per_row = R.term_counts(counts.select(F.monotonically_increasing_id().alias("doc_id"), F.col("_terms").alias("tokens")))
+        df = per_row.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt"))
+        found = df.where(F.col("df") >= self.min_df).orderBy(F.desc("cnt"), "term").limit(self.features)
+        self.words = CountVectorizerModel.from_vocabulary([r["term"] for r in found.select("term").collect()], inputCol="_terms", outputCol="_tf")
+        counted = written(self.words.transform(counts).select("_tf", "label"), "counted")
+        self.idf = IDF(inputCol="_tf", outputCol="_idf").fit(counted)
+        features = Normalizer(inputCol="_idf", outputCol="features").transform(self.idf.transform(counted)).select("features", "label")
         self.model = LogisticRegression(family="multinomial", regParam=1 / (self.c * max(counted.count(), 1)), standardization=False, maxIter=self.max_iter, tol=self.tol).fit(features)
-        counted.unpersist()
         return self
 
     def predict(self, rows: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as X
 from ..operators import graph as G, learning as L, retrieval as R, topics as T, vectors as V
-from ..sources.tables import spread_table as table
+from ..sources.tables import spread_table as table, written
 
 K = 10
 #: The stated query set of the searches: every id that is divisible by 20, against all rows.
@@ -153,8 +153,9 @@ def kmeans_scan(s, d):
 
 def logreg_eval(s, d):
     """Held-out confusion of a quality classifier over the labelled documents."""
-    rows = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).join(table(s, d, "documents").select("doc_id", "text"), "doc_id")
-    rows = L.stratified(rows)
+    docs = table(s, d, "documents").select("doc_id", "text")
+    ids = table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("label")).join(docs.select("doc_id"), "doc_id", "left_semi")
+    rows = docs.join(written(L.stratified(ids), "split"), "doc_id")  # texts are not ranked along with their classes
     model = L.TextClassifier(features=50_000, max_iter=2000).fit(rows.where("not is_test").select("text", "label"))
     return L.confusion(model.predict(rows.where("is_test").select("doc_id", "text", "label")))
 
