@@ -94,5 +94,10 @@ def for_retrieval(tokens: Column) -> Column:
     return stemmed(X.content_words(F.filter(tokens, lambda t: t.rlike("^[a-z]+$"))))
 
 
+def lyric_words(cleaned: Column) -> Column:
+    """What `lyric_tokens` stems."""
+    return X.content_words(X.treebank_words(cleaned))
+
+
 def lyric_tokens(cleaned: Column) -> Column:
-    return stemmed(X.content_words(X.treebank_words(cleaned)))
+    return stemmed(lyric_words(cleaned))
