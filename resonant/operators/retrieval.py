@@ -6,13 +6,19 @@ equi-join that Catalyst can plan. Scoring joins only the postings of terms that
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as Win, functions as F
 
 from ..sources.tables import written
 
 K1, B = 1.5, 0.75
+#: Tokens that a worker counts at once.
+PIECE = 1 << 18
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
@@ -20,9 +26,54 @@ def token_rows(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.size("tokens").cast("long").alias("n"), F.explode("tokens").alias("term"))
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, term, tf). Token arrays are dealt by document before they become rows, so the rows themselves aren't shuffled."""
-    return token_rows(docs.repartition("doc_id")).groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+def _pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Rows of about PIECE tokens together."""
+    if batch.num_rows:
+        last = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) // PIECE
+        first = np.flatnonzero(np.concatenate([[True], last[1:] != last[:-1]])).tolist()
+        for a, b in zip(first, [*first[1:], batch.num_rows]):
+            yield batch.slice(a, b - a)
+
+
+def _counts(pairs: bool):
+    """For mapInArrow over (doc_id, tokens): every row's different terms, or pairs of words that follow each other, with their number."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (piece for whole in batches for piece in _pieces(whole)):
+            tokens = batch.column(1)
+            row = pc.list_parent_indices(tokens).to_numpy().astype(np.int64)
+            coded = pc.dictionary_encode(pc.list_flatten(tokens), null_encoding="encode")
+            code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+            n = np.bincount(row, minlength=batch.num_rows)
+            if pairs:
+                follows = np.flatnonzero(row[1:] == row[:-1])
+                row, code, other = row[follows], code[follows], code[follows + 1]
+                number, code = np.unique(code * max(len(words), 1) + other, return_inverse=True)
+            most = int(code.max()) + 1 if len(code) else 1
+            own, tf = np.unique(row * most + code, return_counts=True)
+            row, code = np.divmod(own, most)
+            if pairs:
+                one, two = np.divmod(number[code], max(len(words), 1))
+                terms = pc.binary_join_element_wise(words.take(pa.array(one)), words.take(pa.array(two)), " ")
+            else:
+                terms = words.take(pa.array(code))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(n[row]), terms, pa.array(tf)], ["doc_id", "n", "term", "tf"])
+
+    return run
+
+
+def term_counts(docs: DataFrame, *, pairs: bool = False) -> DataFrame:
+    """(doc_id, n, term, tf), n the number of all tokens; pairs: of words that follow each other, joined by a space, by document alone (n is the least).
+
+    A document is counted where it is read, so that neither tokens nor counts are shuffled. Only where an id has several rows are their counts added up.
+    """
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    out = docs.select("doc_id", "tokens").mapInArrow(_counts(pairs), f"doc_id {kind}, n long, term string, tf long")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty():
+        return out
+    if pairs:
+        return out.groupBy("doc_id", "term").agg(F.min("n").alias("n"), F.sum("tf").alias("tf")).select("doc_id", "n", "term", "tf")
+    return out.groupBy("doc_id", "n", "term").agg(F.sum("tf").alias("tf"))
 
 
 def length_stats(docs: DataFrame) -> DataFrame:
@@ -79,10 +130,10 @@ def _scalars(docs: DataFrame) -> tuple[Column, Column]:
 def doc_weights(docs: DataFrame, *, scheme: str = "bm25", k1: float = K1, b: float = B, terms: DataFrame | None = None) -> DataFrame:
     """(doc_id, term, weight) of documents, for all terms or those of `terms`."""
     n_docs, avgdl = _scalars(docs)
-    rows = token_rows(docs)
+    tf = term_counts(docs)
     if terms is not None:
-        rows = rows.join(terms.select("term").distinct(), "term")
-    tf = rows.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
+        tf = tf.join(terms.select("term").distinct(), "term", "left_semi")
+    tf = written(tf, "postings")
     df = tf.groupBy("term").agg(F.count("*").alias("df"))
     joined = tf.join(df, "term")
     weight = idf(n_docs, F.col("df"), scheme)
@@ -123,11 +174,14 @@ def ranked_scores(queries: DataFrame, postings: DataFrame, terms: DataFrame, avg
     """(query_id, doc_id, score) from postings (term, doc_id, part: the weight without its idf) and terms (term, idf).
 
     The idf of both sides goes to the query's, which is written and so has a known size: Spark broadcasts it up to its
-    own bound and beyond that joins by term, where adaptive execution splits the postings of frequent terms.
+    own bound and beyond that joins by term, where adaptive execution splits the postings of frequent terms. Postings that
+    are asked for are dealt by document first, so that a score is added up where its parts are made and the parts aren't shuffled.
     """
     q = term_counts(queries.select(F.col("query_id").alias("doc_id"), "tokens")).join(terms, "term")
     q = q.select(F.col("doc_id").alias("query_id"), "term", (part_of_weight(scheme, F.col("tf"), F.col("n"), F.lit(avgdl), k1, b) * F.col("idf") * F.col("idf")).alias("qw"))
-    pair = postings.select("term", "doc_id", "part").join(written(q, "query"), "term")
+    q = written(q, "query")
+    own = postings.select("term", "doc_id", "part").join(q.select("term").distinct(), "term", "left_semi").repartition("doc_id")
+    pair = own.join(q, "term")
     return pair.groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qw") * F.col("part")), 6).alias("score"))
 
 

@@ -26,13 +26,14 @@ def ngrams(tokens: Column, most: int = 1) -> Column:
 def tfidf(docs: DataFrame, *, min_df: int = 1, max_df_ratio: float = 1.0, max_features: int | None = None) -> DataFrame:
     """(doc_id, term, weight): tf (ln((1 + n) / (1 + df)) + 1) with rows of length 1; the most frequent terms if there are too many."""
     n_docs = docs.agg(F.count("*")).scalar()
-    vocabulary = R.document_frequency(docs).where((F.col("df") >= min_df) & (F.col("df") <= max_df_ratio * n_docs))
+    tf = written(R.term_counts(docs), "counts")
+    vocabulary = tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cnt")).where((F.col("df") >= min_df) & (F.col("df") <= max_df_ratio * n_docs))
     if max_features is not None:
         vocabulary = vocabulary.orderBy(F.desc("cnt"), "term").limit(max_features)
-    rows = R.term_counts(docs).join(vocabulary.select("term", "df"), "term")
+    rows = tf.join(vocabulary.select("term", "df"), "term")
     raw = rows.select("doc_id", "term", (F.col("tf") * (F.log((1 + n_docs) / (1 + F.col("df"))) + 1)).alias("w"))
-    size = raw.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("size"))
-    return raw.join(size, "doc_id").select("doc_id", "term", (F.col("w") / F.col("size")).alias("weight"))
+    size = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Win.partitionBy("doc_id")))
+    return raw.select("doc_id", "term", (F.col("w") / size).alias("weight"))
 
 
 def topic_stop_words() -> tuple[str, ...]:
@@ -41,9 +42,9 @@ def topic_stop_words() -> tuple[str, ...]:
 
 
 def without_stop_words(tokens: Column, words: tuple[str, ...] | None = None) -> Column:
-    """Tokens of two letters or more that are no stop words."""
-    listed = F.array(*(F.lit(w) for w in (topic_stop_words() if words is None else words)))
-    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~F.array_contains(listed, x))
+    """Tokens of two letters or more that are no stop words; a token is looked up in a hash set, whatever the number of words."""
+    listed = topic_stop_words() if words is None else words
+    return F.filter(tokens, lambda x: (F.length(x) > 1) & ~x.isin(*listed) if listed else F.length(x) > 1)
 
 
 def ngram_tfidf(docs: DataFrame, *, most: int = 2, min_df: int = 2, max_features: int | None = 50_000, stop_words: tuple[str, ...] | None = None) -> DataFrame:

@@ -75,8 +75,7 @@ def stopword_antijoin(s, d):
 
 
 def bigram_counts(s, d):
-    rows = _docs(s, d).select("doc_id", F.explode(T.ngrams(F.col("tokens"), 2)).alias("term")).where("term like '% %'")
-    return rows.groupBy("term").agg(F.count("*").alias("cnt"), F.countDistinct("doc_id").alias("df"))
+    return R.term_counts(_docs(s, d), pairs=True).groupBy("term").agg(F.sum("tf").alias("cnt"), F.count("doc_id").alias("df"))
 
 
 def sklearn_tfidf(s, d):
