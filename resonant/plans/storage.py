@@ -170,11 +170,11 @@ def tokens_csv(s, d):
 
 
 def tokens_csv_last_wins(s, d):
-    """Every id is written twice; padded and empty ones are there, too."""
+    """Every id is written many times, in the order of documents over files; padded and empty ones are there, too."""
     path = _folder(s, "tokens")
     rows = _docs(s, d).select((F.col("doc_id") % 50).alias("k"), "doc_id", "tokens")
     ids = F.when(F.col("k") == 7, "").otherwise(F.concat(F.lit(" id"), F.col("k").cast("string")))
-    S.write_tokens_csv(rows.coalesce(1).sortWithinPartitions("doc_id").select(ids.alias("song_id"), "tokens"), path)
+    S.write_tokens_csv(rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").select(ids.alias("song_id"), "tokens"), path)
     return S.read_tokens_csv(s, path, last_wins=True).select("song_id", F.size("tokens").cast("long").alias("n"))
 
 

@@ -74,8 +74,10 @@ def read_tokens_csv(spark: SparkSession, path: str, *, last_wins: bool = False)
     if missing := {"song_id", "tokens"} - set(raw.columns):
         raise ValueError(f"missing columns: {sorted(missing)}")
     if last_wins:
-        raw = raw.withColumn("song_id", F.trim("song_id")).where("song_id != ''").withColumn("_at", F.monotonically_increasing_id())
-        raw = raw.withColumn("_k", F.row_number().over(Win.partitionBy("song_id").orderBy(F.desc("_at")))).where("_k = 1")
+        # the place of a row: files by name, then where in a file; only places are compared, so texts are neither sorted nor gathered by id
+        place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+        raw = raw.select("*", place.alias("_at")).withColumn("song_id", F.trim("song_id")).where("song_id != ''")
+        raw = raw.join(raw.groupBy("song_id").agg(F.max("_at").alias("_at")), ["song_id", "_at"], "left_semi")
     tokens = split_tokens(F.col("tokens"))
     return raw.select("song_id", tokens.alias("tokens"), F.size(tokens).alias("token_count"))
 
@@ -213,9 +215,12 @@ def read_tables(spark: SparkSession, path: str, names) -> dict[str, DataFrame]:
 
 
 def save_index(index, path: str) -> None:
-    """An index of `operators.retrieval.build_index`, postings by term so that a query reads only its terms' row groups."""
+    """An index of `operators.retrieval.build_index`, each file's postings in the order of terms so that a query reads only its terms' row groups.
+
+    They stay where the join with the vocabulary by term has put them.
+    """
     tables = index._asdict()
-    tables["postings"] = tables["postings"].repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+    tables["postings"] = tables["postings"].sortWithinPartitions("term", "doc_id")
     save_tables(tables, path)
 
 
