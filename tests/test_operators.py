@@ -413,3 +413,50 @@ def test_missing_dependencies_are_not_hidden(tmp_path):
     if os.path.exists(tmp_path / "copy/corpus_pipeline.py"):
         os.remove(tmp_path / "copy/corpus_pipeline.py")
     assert run().returncode == 0
+
+
+def test_terms_are_counted_where_documents_are_read(spark):
+    """Neither tokens nor counts are shuffled; rows of one id add up if there are several, and pairs do not cross documents."""
+    docs = spark.createDataFrame([(1, ["a", "b", "a", "b"]), (2, []), (3, None), (4, ["b"]), (5, ["b", "c"])], "doc_id long, tokens array<string>")
+    counted = R.term_counts(docs)
+    assert "Exchange" not in counted._jdf.queryExecution().executedPlan().toString()
+    old, R.PIECE = R.PIECE, 2
+    try:
+        assert sorted(map(tuple, counted.collect())) == [(1, 4, "a", 2), (1, 4, "b", 2), (4, 1, "b", 1), (5, 2, "b", 1), (5, 2, "c", 1)]
+        assert sorted(tuple(r) for r in R.term_counts(docs, pairs=True).select("doc_id", "term", "tf").collect()) == [(1, "a b", 2), (1, "b a", 1), (5, "b c", 1)]
+        twice = docs.unionByName(docs.where("doc_id = 1"))
+        assert sorted(tuple(r) for r in R.term_counts(twice).where("doc_id = 1").collect()) == [(1, 4, "a", 4), (1, 4, "b", 4)]
+        assert {r.term: r.tf for r in R.term_counts(twice, pairs=True).where("doc_id = 1").collect()} == {"a b": 4, "b a": 2}
+    finally:
+        R.PIECE = old
+
+
+def test_stop_words_are_looked_up_in_a_set(spark):
+    rows = spark.createDataFrame([(["the", "x", "song", "zorvek", "and"],), (None,)], "tokens array<string>")
+    kept = rows.select(T.without_stop_words(F.col("tokens"), ("the", "and", *(f"w{i}" for i in range(20)))).alias("t"))
+    assert "INSET" in kept._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.t for r in kept.collect()] == [["song", "zorvek"], None]
+    assert rows.select(T.without_stop_words(F.col("tokens"), ()).alias("t")).first().t == ["the", "song", "zorvek", "and"]
+
+
+def test_last_row_of_an_id_over_files(spark, tmp_path):
+    """Files count by name, whatever their sizes and the order they are read in, and no window gathers an id's texts."""
+    for i, body in enumerate((" a,x\nb,one\n" + "c,long\n" * 50, "a ,y\n,none\n", " b, two words \na,last\n")):
+        (tmp_path / f"part-{i}.csv").write_text("song_id,tokens\n" + body)
+    read = S.read_tokens_csv(spark, str(tmp_path), last_wins=True)
+    assert "Window" not in read._jdf.queryExecution().toString()
+    assert {r.song_id: r.tokens for r in read.collect()} == {"a": ["last"], "b": ["two", "words"], "c": ["long"]}
+
+
+def test_each_word_is_stemmed_once(spark):
+    plan = registry.QUERIES["porter_tokens"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 2 and plan.index("ArrowEvalPython" if "ArrowEvalPython" in plan else "EvalPython") < plan.rindex("Aggregate")
+
+
+def test_texts_are_not_ranked_with_their_classes(spark, monkeypatch):
+    made, split = [], L.stratified
+    monkeypatch.setattr(L, "stratified", lambda rows, *a, **k: made.append(rows.columns) or split(rows, *a, **k))
+    monkeypatch.setattr(L.TextClassifier, "fit", lambda self, rows: (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        registry.QUERIES["logreg_eval"](spark, SF)
+    assert made == [["doc_id", "label"]]
