@@ -314,6 +314,27 @@ def test_kmeans_scan_against_library(spark):
     assert [(k, c, x) for k, c, x in T.scan_k(same, (2, 3), seeds=2)] == [(2, 0.0, 0.0), (3, 0.0, 0.0)]
 
 
+def test_kmeans_settles_in_parts(spark, monkeypatch):
+    """Few passes however many steps there are, and the centres that passes for every step give, whatever the numbers are."""
+    rng, passes, summed = random.Random(7), [], kmeans._summed
+    monkeypatch.setattr(kmeans, "_summed", lambda *a: passes.append(1) or summed(*a))
+    monkeypatch.setattr(kmeans, "SUB", 64)
+    for shift, scale, places in ((0, 1, 0), (0, 1, 3), (1000, 1 / 3, 9), (0, 1e-30, 9), (0, 1e60, 9)):
+        rows = [(i, [shift + scale * round(rng.gauss(i % 3, 1), places) for _ in range(4)]) for i in range(400)]
+        v = spark.createDataFrame(rows, "id long, vec array<double>").repartition(3).cache()
+        tol = 1e-4 * scale
+        passes.clear()
+        held = kmeans.fit_all(v, (1, 2, 7), starts=2, tol=tol)
+        assert len(passes) <= kmeans.ROUNDS + 1
+        with monkeypatch.context() as m:
+            m.setattr(kmeans, "HELD", 0)
+            read = kmeans.fit_all(v, (1, 2, 7), starts=2, tol=tol)
+        assert len(passes) > 2 * kmeans.ROUNDS + 8
+        for a, b in zip(held, read, strict=True):
+            assert (a.k, a.start) == (b.k, b.start) and a.cost == pytest.approx(b.cost, rel=1e-9)
+            assert a.centers == pytest.approx(b.centers, rel=1e-9, abs=1e-9 * scale)
+
+
 def test_kmeans_query_scans_all(spark, monkeypatch):
     asked = []
     monkeypatch.setattr(T, "scan_k", lambda v, ks, **more: asked.append((list(ks), more)) or [(k, 1.0, float(k == 10)) for k in ks])
