@@ -3,7 +3,8 @@
 Two texts link when 100 * |A & B| >= 85 * |A | B| for their sets of 4-word shingles. The steps:
 
 1. Tasks gather blocks of texts, drop repeated sets inside a block, and send every block's sorted
-   shingle keys to key ranges as packed arrays. A range counts in how many sets each key occurs.
+   shingle keys to key ranges as packed arrays. A range counts in how many sets each key occurs. There are
+   as many ranges as all shingles need, so that one has about RANGE_KEYS of them however large the input is.
 2. Keys of one set only go no further. A block gets back, for each set, its shared keys with their
    counts. Linked sets share at least 85 % of either, so a set with fewer shared keys is done. For
    the rest, shared keys are ordered by rarity (a global order), and two linked sets must have a
@@ -45,6 +46,8 @@ SHINGLE, PERCENT = 4, 85
 KEY_BITS = 48
 #: Shingles that a block gathers before it is sent.
 GATHER = 1_000_000
+#: Shingles of all sets that a key range may have on average.
+RANGE_KEYS = 1_000_000
 #: Shared keys and sets that a tile may hold.
 TILE_KEYS, TILE_SETS = 2_000_000, 4_000
 #: Most components whose id is broadcast.
@@ -291,7 +294,8 @@ def join(documents: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sh
     kind = documents.schema[doc_id].dataType.simpleString()
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text"))
     rows = written(docs.mapInArrow(W.tidied(_classes(shingle)), f"doc_id {kind}, n_shingles long, cls binary"), "sets")
-    log_ranges = max(3, docs.rdd.getNumPartitions().bit_length() + 1)
+    shingles = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    log_ranges = max(3, docs.rdd.getNumPartitions().bit_length() + 1, (-(-shingles // RANGE_KEYS) - 1).bit_length())
     blocks = docs.select("text").mapInArrow(W.tidied(_blocks(shingle, log_ranges)), _BLOCKS)
     shared = blocks.groupBy("r").applyInArrow(W.tidied(_shared), _SHARED)
     left = shared.groupBy("block").applyInArrow(W.tidied(_left(percent)), _LEFT)

@@ -429,6 +429,19 @@ def _stable(spark, df):
     return written(df, "test")
 
 
+def test_jaccard_ranges_follow_the_shingles(spark, documents, rows, monkeypatch):
+    """Key ranges of a bounded number of shingles even from one partition."""
+    made, blocks = [], jaccard._blocks
+    monkeypatch.setattr(jaccard, "_blocks", lambda shingle, log_ranges: made.append(log_ranges) or blocks(shingle, log_ranges))
+    monkeypatch.setattr(jaccard, "RANGE_KEYS", 500)
+    want = linked(sets_of(rows))
+    got = jaccard.join(documents.coalesce(1))
+    compare(got, want, ["n_shingles", "component_id"])
+    shingles = sum(r.n_shingles for r in got.collect())
+    assert shingles > 500 << 3  # more than the least number of ranges may have
+    assert shingles / (1 << made[0]) <= 500
+
+
 def test_jaccard_empty_and_kept(spark, documents, rows):
     assert jaccard.join(documents.limit(0)).count() == 0
     fixed = _stable(spark, documents)
